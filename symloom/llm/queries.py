@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.exact_dedup import exact_dedup
+from symloom.llm.pieces import decode_pieces, encode_pieces
 from symloom.llm.sharding import kd_shards
+from symloom.llm.token_counts import token_counts
 from symloom.llm.url_filter import judge_urls
 
 #: The rules of op6: fixed values.
@@ -25,6 +27,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_hash (xxhash64 of the ids), restored (decoding gives the text, U+2581 as a space)."""
+    model = vocabulary("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == plain).alias("restored"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -39,4 +60,4 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_url_filter, op8_exact_dedup, op10_kd_sharding)}
+    return {f.__name__: f for f in (op4_token_counts, op5_sentencepiece, op6_url_filter, op8_exact_dedup, op10_kd_sharding)}
