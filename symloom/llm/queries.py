@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.llm.decontaminate import decontaminate
 from symloom.llm.exact_dedup import exact_dedup
 from symloom.llm.pieces import decode_pieces, encode_pieces
 from symloom.llm.sharding import kd_shards
@@ -54,10 +55,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards(_table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_sentencepiece, op6_url_filter, op8_exact_dedup, op10_kd_sharding)}
+    return {f.__name__: f for f in (op4_token_counts, op5_sentencepiece, op6_url_filter, op8_exact_dedup, op9_decontamination, op10_kd_sharding)}
