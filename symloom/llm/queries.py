@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symloom.llm.decontaminate import decontaminate
 from symloom.llm.exact_dedup import exact_dedup
+from symloom.llm.near_dedup import near_duplicates
 from symloom.llm.pieces import decode_pieces, encode_pieces
 from symloom.llm.sharding import kd_shards
 from symloom.llm.token_counts import token_counts
@@ -51,6 +52,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -65,4 +70,4 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_sentencepiece, op6_url_filter, op8_exact_dedup, op9_decontamination, op10_kd_sharding)}
+    return {f.__name__: f for f in (op4_token_counts, op5_sentencepiece, op6_url_filter, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_kd_sharding)}
