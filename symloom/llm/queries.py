@@ -12,6 +12,7 @@ from symloom.llm.exact_dedup import exact_dedup
 from symloom.llm.near_dedup import near_duplicates
 from symloom.llm.pieces import decode_pieces, encode_pieces
 from symloom.llm.sharding import kd_shards
+from symloom.llm.substring_dedup import substring_dedup
 from symloom.llm.token_counts import token_counts
 from symloom.llm.url_filter import judge_urls
 
@@ -29,6 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def vocabulary(name: str) -> str:
     """The place of an installed public vocabulary file."""
     import public_tokenizers
@@ -70,4 +75,4 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_sentencepiece, op6_url_filter, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_kd_sharding)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_token_counts, op5_sentencepiece, op6_url_filter, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_kd_sharding)}

@@ -2,6 +2,19 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT doc_id, s, md5(array_to_string(w[s : s + 19], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM w WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS r FROM wins),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM ranked WHERE r > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP6 = r"""
 WITH parts AS (
   SELECT page_id,
@@ -62,4 +75,4 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6, "op7_minhash_dedup": OP7, "op8_exact_dedup": OP8, "op9_decontamination": OP9}
+    return {"op2_substring_dedup": OP2, "op6_url_filter": OP6, "op7_minhash_dedup": OP7, "op8_exact_dedup": OP8, "op9_decontamination": OP9}
