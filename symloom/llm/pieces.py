@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symloom.llm.bpe import Memo, PrefixBpe, merge
 
@@ -132,9 +133,11 @@ def codec(model: bytes) -> PieceCodec:
     return _codecs[key]
 
 
-def encode_pieces(docs: DataFrame, model: str | Path) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str | Path, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, ids (array<int>) of every row of docs, as the model's library gives them without added pieces.
 
+    Columns named in keep are carried along.
+
     model is the path of the file where this is called; its bytes (under a few MB) go with the tasks. A null text
     stays null and has no ids, as an empty one. Characters without a piece become byte pieces, or the unknown piece if
     the model has none. Null ids of documents and repeated rows are passed through; no rows give no rows; other
@@ -148,10 +151,10 @@ def encode_pieces(docs: DataFrame, model: str | Path) -> DataFrame:
             ids = [known.encode(t or "") for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], ["doc_id", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_pieces(encoded: DataFrame, model: str | Path) -> DataFrame:

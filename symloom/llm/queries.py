@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from symloom.llm.decontaminate import decontaminate
 from symloom.llm.exact_dedup import exact_dedup
+from symloom.llm.line_dedup import line_dedup
 from symloom.llm.near_dedup import near_duplicates
+from symloom.llm.perplexity import classify
 from symloom.llm.pieces import decode_pieces, encode_pieces
 from symloom.llm.sharding import kd_shards
 from symloom.llm.substring_dedup import substring_dedup
@@ -30,10 +32,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"), min_sites=10).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def vocabulary(name: str) -> str:
     """The place of an installed public vocabulary file."""
     import public_tokenizers
@@ -75,4 +85,4 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_token_counts, op5_sentencepiece, op6_url_filter, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_kd_sharding)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_quality_classifier, op4_token_counts, op5_sentencepiece, op6_url_filter, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_kd_sharding)}

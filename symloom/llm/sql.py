@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM l),
+wide AS (SELECT body FROM t WHERE body <> '' GROUP BY body HAVING count(DISTINCT site) >= 10),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept, count(*) AS n FROM t ANTI JOIN wide USING (body) GROUP BY doc_id),
+n AS (SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines FROM documents)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id)
+"""
+
 OP2 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 wins AS (
@@ -75,4 +86,4 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op6_url_filter": OP6, "op7_minhash_dedup": OP7, "op8_exact_dedup": OP8, "op9_decontamination": OP9}
+    return {"op1_line_dedup": OP1, "op2_substring_dedup": OP2, "op6_url_filter": OP6, "op7_minhash_dedup": OP7, "op8_exact_dedup": OP8, "op9_decontamination": OP9}
