@@ -12,10 +12,13 @@ from collections.abc import Callable
 import ahocorasick
 
 
+_NEVER = float("inf")
+
+
 class Memo(dict):
     """Remembers `make(key)` of short keys; forgets all at `limit` entries."""
 
-    def __init__(self, make: Callable, limit: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, make: Callable, limit: int = 500_000, longest: int = 64) -> None:
         self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
@@ -52,15 +55,43 @@ class PrefixBpe:
             self.automaton.add_word(token, token)
         if tokens:
             self.automaton.make_automaton()
+        self.steps: dict[str, list[tuple[float, str, str]]] = {}
         self.beside: dict[tuple[str, str], bool] = {}
 
+    def _steps(self, token: str) -> list[tuple[float, str, str]]:
+        """The merges that make a token: their ranks, and its first and last symbol before each; at the end itself."""
+        found = self.steps.get(token)
+        if found is None:
+            symbols, found = list(token), []
+            while len(symbols) > 1:
+                r, at = min((r, k) for k in range(len(symbols) - 1) if (r := self.rank(symbols[k], symbols[k + 1])) is not None)
+                found.append((r, symbols[0], symbols[-1]))
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            found.append((_NEVER, token, token))
+            self.steps[token] = found
+        return found
+
     def _fits(self, left: str, right: str) -> bool:
+        """Whether merging leaves the two side by side: no pair across them comes up before their own merges."""
         pair = left, right
         found = self.beside.get(pair)
         if found is None:
             if len(self.beside) >= 400_000:
                 self.beside.clear()
-            found = self.beside[pair] = merge([*left, *right], self.rank) == [left, right]
+            ours, theirs, i, j, found = self._steps(left), self._steps(right), 0, 0, True
+            while True:
+                (a, _, x), (b, y, _) = ours[i], theirs[j]
+                across = self.rank(x, y)
+                if across is not None and across < a and across <= b:  # of equals the leftmost goes first
+                    found = False
+                    break
+                if a is b is _NEVER:
+                    break
+                if a <= b:
+                    i += 1
+                else:
+                    j += 1
+            self.beside[pair] = found
         return found
 
     def last_tokens(self, text: str) -> tuple[list[str | None], list[bool]]:
@@ -85,11 +116,24 @@ class PrefixBpe:
         return last, strange
 
     def counts(self, text: str) -> list[int]:
-        """The number of tokens of every prefix, the empty one first."""
-        last, _ = self.last_tokens(text)
-        counts = [0] * len(last)
-        for k in range(1, len(last)):
-            counts[k] = counts[k - len(last[k])] + 1
+        """The number of tokens of every prefix, the empty one first; all characters must have tokens."""
+        size = len(text)
+        counts = [0] * (size + 1)
+        last: list[str | None] = [None] * (size + 1)
+        known = self.beside.get
+        for end, token in self.automaton.iter(text):
+            here = end + 1
+            if last[here] is None:
+                start = here - len(token)
+                if start:
+                    before = last[start]
+                    fits = known((before, token))
+                    if fits is None:
+                        fits = self._fits(before, token)
+                    if not fits:
+                        continue
+                last[here] = token
+                counts[here] = counts[start] + 1
         return counts
 
     def encode(self, text: str) -> list[str]:

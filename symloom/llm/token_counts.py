@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -48,24 +49,28 @@ class PrefixCounter:
         alphabet = _byte_alphabet()
         self.bpe = PrefixBpe([*alphabet, *dict.fromkeys(a + b for a, b in pairs)], lambda a, b: ranks.get((a, b)))
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(alphabet)})
+        self.space = alphabet[32]
         self.units = Memo(self._unit_steps)
         special = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
     def _piece(self, piece: str) -> list[int]:
         """The counts at the ends of the piece's characters."""
-        counts = self.bpe.counts(piece.encode().decode("latin-1").translate(self.letters))
-        if len(counts) == len(piece) + 1:
-            return counts[1:]
+        data = piece.encode()
+        if len(data) == len(piece):
+            return self.bpe.counts(piece.replace(" ", self.space) if piece.isprintable() else piece.translate(self.letters))[1:]
+        counts = self.bpe.counts(data.decode("latin-1").translate(self.letters))
         ends = np.cumsum([len(c.encode()) for c in piece])
         return [counts[e] for e in ends]
 
     def _unit_steps(self, unit: str) -> bytes:
         blank = _BLANK.match(unit).end()
         core, counts = unit[blank:], []
-        if blank:
+        if core not in _ENDINGS and (not blank or (blank == 1 and unit[0] == " ")):
+            counts = self._piece(unit)
+        elif blank:
             counts = self._piece(unit[:blank])
-        if core:
+        if core and len(counts) < len(unit):
             before, skip = 0, 0
             if blank > 1:
                 before = counts[blank - 2]
@@ -77,7 +82,7 @@ class PrefixCounter:
             if core in _ENDINGS and len(core) == 3:  # cut short, it is a mark and a letter
                 inner[1] = self._piece(core[0])[-1] + self._piece(core[1])[-1]
             counts += [before + c for c in inner[skip:]]
-        return np.diff(np.array([0, *counts])).astype(np.int8).tobytes()
+        return bytes([(here - before) & 255 for before, here in pairwise([0, *counts])])
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.units.__getitem__, _UNIT.findall(text)))
