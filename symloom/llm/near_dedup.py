@@ -140,21 +140,29 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+_PAIRS = "p long, q long, i int, j int, a long, partners array<long>"
+_KEY = ["p", "q", "i", "j"]
+
+
 def _likely(percent: int):
-    """From the members of bucket blocks, sorted by key: pairs of different components that may be alike."""
+    """From the members of bucket blocks, sorted by key: pairs of different components that may be alike.
+
+    A pair is put out by its first common bucket alone, its partners gathered by family block: one row for each member
+    and block; rows without partners name the documents that a block needs.
+    """
     floor = estimate_floor(percent)
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list] = ([], [])
+        rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["a", "b"])
-            out[0].clear(), out[1].clear()
-            return made
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*_KEY, "a", "partners"])
 
-        waiting = 0
         for g in _groups(batches, ["key", "bi", "bj"]):
-            docs, label, size, side = (g.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "side"))
+            docs, label, size, side, pivot, block = (g.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "side", "pivot", "block"))
             packed = np.frombuffer(b"".join(g.column("packed").to_pylist()), np.uint64).reshape(-1, _LONGS)
             one_block = g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
             x = np.flatnonzero(side == 0)
@@ -165,36 +173,63 @@ def _likely(percent: int):
             may = (label[x][:, None] != label[y]) & (small * 100 >= large * percent)
             if one_block:
                 may &= docs[x][:, None] < docs[y]
-            if may.any():
-                i, j = np.nonzero(may & (estimate(packed[x], packed[y]) >= floor))
-                out[0].append(np.minimum(docs[x][i], docs[y][j]))
-                out[1].append(np.maximum(docs[x][i], docs[y][j]))
-                waiting += len(i)
-                if waiting > 100_000:
-                    yield flush()
-                    waiting = 0
+            if not may.any():
+                continue
+            i, j = np.nonzero(may & (estimate(packed[x], packed[y]) >= floor))
+            if not len(i):
+                continue
+            bands = np.concatenate([v.values.to_numpy() for v in g.column("bands")]).reshape(-1, BANDS)
+            first, second = x[i], y[j]
+            mine = int((bands[x[0]] == g.column("key")[0].as_py()).argmax())
+            here = (bands[first] == bands[second]).argmax(axis=1) == mine
+            first, second = first[here], second[here]
+            swap = docs[first] > docs[second]
+            first, second = np.where(swap, second, first), np.where(swap, first, second)
+            gathered: dict[tuple, list[int]] = {}
+            needed: set[tuple] = set()
+            for a, b in zip(first.tolist(), second.tolist(), strict=True):
+                key = int(pivot[a]), int(pivot[b]), int(block[a]), int(block[b])
+                gathered.setdefault((*key, int(docs[a])), []).append(int(docs[b]))
+                needed.add((*key, int(docs[b])))
+            rows += [(*key, partners) for key, partners in gathered.items()]
+            rows += [(*key, None) for key in needed]
+            if len(rows) > 20_000:
+                yield flush()
         yield flush()
 
     return run
 
 
 def _confirm(percent: int):
-    """From sets and pairs of the same key, sorted by key: the pairs whose sets are alike."""
+    """From sets and pairs of the same key, sorted by key: links among the pairs whose sets are alike.
+
+    Within a key, a pair that links so far found already connect is not compared.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["p", "q", "i", "j"]):
-            a, b = g.column("a").to_pylist(), g.column("b").to_pylist()
-            sets = {d: np.frombuffer(s, np.uint64) for d, s in zip(a, g.column("shingles").to_pylist(), strict=True) if s is not None}
+        for g in _groups(batches, _KEY):
+            docs = g.column("a").to_pylist()
+            sets = {d: np.frombuffer(s, np.uint64) for d, s in zip(docs, g.column("shingles").to_pylist(), strict=True) if s is not None}
+            up = {d: d for d in sets}
+
+            def top(d: int, up: dict[int, int] = up) -> int:
+                while up[d] != d:
+                    up[d] = up[up[d]]
+                    d = up[d]
+                return d
+
             links = []
-            for x, y in zip(a, b, strict=True):
-                if y is None:
-                    continue
-                s, t = sets[x], sets[y]
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    links.append((x, y))
+            for x, partners in zip(docs, g.column("partners").to_pylist(), strict=True):
+                for y in partners or ():
+                    if top(x) == top(y):
+                        continue
+                    s, t = sets[x], sets[y]
+                    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                        continue
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        links.append((x, y))
+                        up[top(y)] = top(x)
             if links:
                 xs, ys = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["a", "b"])
@@ -202,18 +237,12 @@ def _confirm(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets are alike; a group is of two pivots' families, in blocks."""
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit("block")), F.col(f"blocks_{c}")).cast("int")
-    size = pivots.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    family = pivots.join(size, "pivot")
-    left, right = (family.select(F.col("doc").alias(c), F.col("pivot").alias(f"pivot_{c}"), F.col("blocks").alias(f"blocks_{c}")) for c in "ab")
-    keyed = settle(pairs.join(left, "a").join(right, "b").select(F.col("pivot_a").alias("p"), F.col("pivot_b").alias("q"), block("a").alias("i"), block("b").alias("j"), "a", "b"))
-    key = ["p", "q", "i", "j"]
-    needed = keyed.select(*key, F.col("a").alias("doc")).union(keyed.select(*key, F.col("b").alias("doc"))).distinct()
-    rows = needed.join(sets, "doc").select(*key, F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    rows = rows.union(keyed.select(*key, "a", "b", F.lit(None).cast("binary")))
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_confirm(percent), "a long, b long")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs that have the same key: a row's a with each of its partners."""
+    needed = pairs.select(*_KEY, F.col("a").alias("doc")).distinct()
+    rows = needed.join(sets, "doc").select(*_KEY, F.col("doc").alias("a"), F.lit(None).cast("array<long>").alias("partners"), "shingles")
+    rows = rows.union(pairs.where("partners is not null").select(*_KEY, "a", "partners", F.lit(None).cast("binary")))
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_confirm(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -244,9 +273,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     wanted = source.withColumnRenamed("doc_id", "doc").join(nearest.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
     sets = settle(wanted.mapInArrow(_sets(width), "doc long, shingles binary"))
 
-    first_pairs = nearest.where("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    of_family = nearest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    families = settle(nearest.join(of_family, "pivot").select("doc", "pivot", F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")).cast("int").alias("block")))
+    left, right = (families.select(F.col("doc").alias(c), F.col("pivot").alias(f"pivot_{c}"), F.col("block").alias(f"block_{c}")) for c in "ab")
+    with_pivot = nearest.where("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    with_pivot = with_pivot.join(left, "a").join(right, "b").select(F.col("pivot_a").alias("p"), F.col("pivot_b").alias("q"), F.col("block_a").alias("i"), F.col("block_b").alias("j"), "a", "b")
+    first_pairs = with_pivot.select(*_KEY, "a", F.array("b").alias("partners")).union(with_pivot.select(*_KEY, "b", F.lit(None).cast("array<long>")))
     own = nearest.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
-    links = settle(_links(first_pairs, sets, nearest, percent))
+    links = settle(_links(first_pairs, sets, percent))
     labels = components(links.union(own))
 
     labelled = members.select("key", "doc").join(labels.withColumnRenamed("node", "doc"), "doc")
@@ -254,12 +288,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("doc", F.lit("part")), F.col("blocks")).cast("int"))
     spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).cast("int").alias("bi"), F.greatest("mine", o).cast("int").alias("bj"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side")))
-    placed = placed.select("key", "doc", "component", F.explode(spots).alias("s")).select("key", "s.*", "doc", "component").join(firsts.select("doc", "n_shingles", "packed"), "doc")
+    placed = placed.select("key", "doc", "component", F.explode(spots).alias("s")).select("key", "s.*", "doc", "component").join(firsts.select("doc", "n_shingles", "packed", "bands"), "doc").join(families, "doc")
     order = ["key", "bi", "bj"]
-    second_pairs = placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(_likely(percent), "a long, b long").distinct()
-    more = settle(_links(second_pairs, sets, nearest, percent))
+    second_pairs = settle(placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(_likely(percent), _PAIRS))
+    more = settle(_links(second_pairs, sets, percent))
     final = components(links.union(more).union(own))
-    discard(members, sets, links, more, labels, nearest, firsts)
+    discard(members, sets, links, more, labels, nearest, families, second_pairs, firsts)
 
     of_class = classes.join(final.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
