@@ -74,7 +74,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     places = _shingles(docs.select(F.col("doc_id").cast("long"), key.alias("doc"), words(F.col("text")).alias("words")), sizes)
     found = known.count()
     right = F.broadcast(known) if found <= broadcast_rows else known.hint("shuffle_hash")
-    last = F.col("at").isNull() | ((F.col("at") == F.col("n_words") - 1) & (F.col("d.k") == sizes[-1]))
+    last = (F.col("at").isNull() | (F.col("at") == F.col("n_words") - 1)) & (F.col("d.k") == sizes[-1])
     seen = settle(
         places.alias("d").join(right.alias("b"), (F.col("d.hash") == F.col("b.hash")) & same, "left")
         .where(F.col("shingle").isNotNull() | last)
