@@ -28,7 +28,7 @@ BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
 BITS = 2
 SIGMAS = 4.0
-BLOCK = 256
+BLOCK = 512
 _LONGS = MINIMA * BITS // 64
 
 _rng = np.random.Generator(np.random.PCG64(77))
