@@ -33,10 +33,10 @@ def ambiguity(ranked: DataFrame) -> DataFrame:
 
 
 def tool_stats(calls: DataFrame) -> DataFrame:
-    """Per tool (tool_name, elapsed_ms, ok, at): calls, errors, total and mean time in hundredths, the last call."""
-    return calls.groupBy("tool_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("ok"), 1)).alias("n_errors"), F.round(F.sum(F.col("elapsed_ms").cast("decimal(18,2)")), 2).cast("double").alias("total_ms"), F.max("at").alias("last_at"))
+    """Per tool (tool_name, elapsed_ms, ok, called_at): calls, errors, total and mean time in hundredths, the last call."""
+    return calls.groupBy("tool_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("ok"), 1)).alias("n_errors"), F.round(F.sum(F.col("elapsed_ms").cast("decimal(18,2)")), 2).cast("double").alias("total_ms"), F.max("called_at").alias("last_at"))
 
 
 def recent_calls(calls: DataFrame, n: int = 20) -> DataFrame:
     """The newest n calls."""
-    return calls.orderBy(F.desc("at"), F.desc("k")).limit(n).select("k", "tool_name", "at")
+    return calls.orderBy(F.desc("called_at"), F.desc("k")).limit(n).select("k", "tool_name", "called_at")

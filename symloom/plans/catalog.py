@@ -650,7 +650,7 @@ def i7_escalation(g):
 WITH w AS (SELECT cast(floor(epoch(ts) / 3600) AS bigint) AS bucket, count(*) AS n FROM events GROUP BY 1)
 SELECT a.bucket, a.n, a.n + coalesce(b.n, 0) AS rolled, a.n >= 64 OR a.n + coalesce(b.n, 0) >= 96 AS burst FROM w a LEFT JOIN w b ON b.bucket = a.bucket - 1""")
 def i9_bursts(g):
-    out = incremental.bursts(g.tool_calls, files=1000, seconds=3600)
+    out = incremental.bursts(g.tool_calls.withColumnRenamed("called_at", "at"), files=1000, seconds=3600)
     return out.select(F.floor(F.unix_timestamp("bucket") / 3600).alias("bucket"), "n", "rolled", "burst")
 
 
@@ -708,12 +708,12 @@ def r7_ambiguity(g):
     return shape.ambiguity(lookup.ranked(g.symbols, lookup.CALLABLE))
 
 
-@query("SELECT tool_name, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS n_errors, cast(sum(cast(elapsed_ms AS decimal(18, 2))) AS double) AS total_ms, max(at) AS last_at FROM tool_calls GROUP BY 1")
+@query("SELECT tool_name, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS n_errors, cast(sum(cast(elapsed_ms AS decimal(18, 2))) AS double) AS total_ms, max(called_at) AS last_at FROM tool_calls GROUP BY 1")
 def r10_tool_stats(g):
     return shape.tool_stats(g.tool_calls)
 
 
-@query("SELECT k, tool_name, at FROM tool_calls ORDER BY at DESC, k DESC LIMIT 20")
+@query("SELECT k, tool_name, called_at FROM tool_calls ORDER BY called_at DESC, k DESC LIMIT 20")
 def r10_recent_calls(g):
     return shape.recent_calls(g.tool_calls)
 

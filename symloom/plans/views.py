@@ -117,7 +117,7 @@ FROM files WHERE k % 10 <> 0""",
 SELECT 'p' || cast(page_id % 60 AS {{string}}) AS source_file, 'p' || cast(length(href) * 7 % 60 AS {{string}}) AS included_file, cast(min(pos) + 1 AS int) AS line, length(href) % 4 = 0 AS is_system_include
 FROM pages {{hrefs}} GROUP BY 1, 2, 4""",
     "tool_calls": """
-SELECT event_type AS tool_name, value AS elapsed_ms, event_type <> 'error' AS ok, ts AS at, event_id AS k FROM events""",
+SELECT event_type AS tool_name, value AS elapsed_ms, event_type <> 'error' AS ok, ts AS called_at, event_id AS k FROM events""",
 }
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
