@@ -203,7 +203,7 @@ def scan_braced(path: str, text: str, language: str) -> list[Sighting]:
     """C++, TypeScript and Rust: what stands before a brace opens a scope; calls belong to the innermost function."""
     plain = blank(text, language)
     if language == "cpp":
-        plain = re.sub(r"^[ \t]*#.*$", lambda m: " " * len(m[0]), plain, flags=re.MULTILINE)
+        plain = re.sub(r"^[ \t]*#.*$|\b(?:public|private|protected)\s*:(?!:)", lambda m: re.sub(r"[^\n]", " ", m[0]), plain, flags=re.MULTILINE)
         out: list[Sighting] = []
         base: Sighting | None = None
     else:
