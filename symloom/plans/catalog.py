@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.functions import extract
 from symloom.functions import metadata as M
 from symloom.functions import strings as S
 from symloom.operators import edges as E
-from symloom.operators import flow, incremental, lookup, merge, resolve, shape, traverse
+from symloom.operators import flow, incremental, investigate, lookup, merge, resolve, shape, traverse
 from symloom.plans.views import Graph, duckdb_sql
+from symloom.sources import trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -322,7 +324,7 @@ def _edges(g) -> DataFrame:
 
 
 def _seed_names(g) -> DataFrame:
-    """The asked-for symbols: every seventh method's first caller would do; here the representatives of one name."""
+    """The asked-for symbols: all callables of one name."""
     return lookup.ranked(g.symbols, lookup.CALLABLE).where("name = 'red_widget_1'").select(F.col("id").alias("seed"))
 
 
@@ -725,3 +727,64 @@ SELECT path, CASE WHEN parts[1] IN ('src', 'include') THEN 'runtime' ELSE parts[
 def x21_path_metadata(g):
     p = F.col("path")
     return g.symbols.select(F.col("file_path").alias("path")).distinct().select("path", M.subsystem(p).alias("subsystem"), M.module(p).alias("module"), M.artifact_kind(p).alias("artifact_kind"), M.project_area(p).alias("project_area"), M.header_role(p).alias("header_role"))
+
+
+# ---- sources and extraction
+
+
+_LINES = "WITH l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM source_files)"
+
+
+@query(f"""{_LINES} SELECT path AS source_file, CASE WHEN contains(text, '"') THEN regexp_extract(text, '"(.+)"', 1) ELSE regexp_extract(text, '<(.+)>', 1) END AS included_file, line, NOT contains(text, '"') AS is_system_include FROM l WHERE regexp_full_match(text, '#include ("[^"]+"|<[^>]+>)')""")
+def x11_includes(g):
+    return extract.includes(g.source_files)
+
+
+@query(f"{_LINES} SELECT path AS file_path, regexp_extract(text, '#define (\\w+)', 1) AS name, CASE WHEN contains(text, '(') THEN 'x' ELSE split_part(text, ' ', 3) END AS value, line, CASE WHEN contains(text, '(') THEN 'functionLike' ELSE 'objectLike' END AS macro_type FROM l WHERE starts_with(text, '#define')")
+def x12_macros(g):
+    return extract.macros(g.source_files)
+
+
+@query(f"{_LINES} SELECT path AS file_path, substr(text, 8) AS condition_text, line AS start_line, line + 4 AS end_line, false AS is_negated FROM l WHERE starts_with(text, '#ifdef') UNION ALL SELECT path, substr(text, 9), line, line + 2, true FROM l WHERE starts_with(text, '#ifndef')")
+def x12_conditional_blocks(g):
+    return extract.blocks(g.source_files)
+
+
+@query(f"{_LINES} SELECT a.path AS file_path, CASE WHEN starts_with(b.text, 'struct') THEN 'S' ELSE regexp_extract(b.text, 'int (\\w+)', 1) END AS symbol_name, b.line, split_part(a.text, ' ', 2) AS gating_macro, starts_with(a.text, '#ifndef') AS is_negated FROM l a JOIN l b ON a.path = b.path WHERE (starts_with(a.text, '#ifdef') AND b.line = a.line + 2) OR (starts_with(a.text, '#ifndef') AND b.line = a.line + 1)")
+def x13_conditional_symbols(g):
+    return extract.conditional_symbols(g.source_files)
+
+
+@query(f"""{_LINES}, c AS (SELECT path, count(*) FILTER (WHERE starts_with(text, '#')) AS m, count(*) FILTER (WHERE starts_with(text, '#include')) AS i, count(*) FILTER (WHERE starts_with(text, '#if') OR starts_with(text, '#elif')) AS c, count(*) FILTER (WHERE starts_with(text, '#define') AND contains(text, '(')) AS f FROM l GROUP BY path)
+SELECT path, CASE WHEN m >= 12 OR c >= 4 OR f >= 3 OR i >= 25 THEN 'elevated' ELSE 'low' END AS parse_fragility, CASE WHEN m >= 12 OR c >= 4 OR f >= 3 THEN 'high' ELSE 'low' END AS macro_sensitivity, CASE WHEN i >= 15 THEN 'heavy' ELSE 'light' END AS include_heaviness FROM c""")
+def x14_file_risks(g):
+    return extract.risks(g.source_files)
+
+
+@query("""WITH t AS (SELECT DISTINCT file_path AS path, line FROM calls)
+SELECT t.path, t.line, arg_min(s.id, (s.end_line - s.line, s.id)) AS symbol_id FROM t LEFT JOIN symbols s ON s.file_path = t.path AND t.line BETWEEN s.line AND s.end_line GROUP BY ALL""")
+def x16_enclosing_symbols(g):
+    return extract.enclosing(g.calls.select(F.col("file_path").alias("path"), "line").distinct(), g.symbols)
+
+
+@query()
+def x1_scanned_sources(g):
+    return extract.sightings(g.source_files.withColumn("language", F.lit("cpp")))
+
+
+@query("SELECT path FROM files WHERE NOT regexp_matches(path, 'src1|[.]py$')")
+def s2_not_ignored(g):
+    return g.files.where(~trees.ignored(F.col("path"), ["# generated", "src1", "[.]py$", "("])).select("path")
+
+
+@query("SELECT path, length(text) AS n, sha256(text) AS content_hash FROM source_files WHERE regexp_matches(path, '[.](cpp|h)$')")
+def s5_hashed_sources(g):
+    return g.source_files.where(S.extension(F.col("path")).isin("cpp", "h")).select("path", F.length("text").alias("n"), F.sha2("text", 256).alias("content_hash"))
+
+
+@query()
+def g17_investigate_workflow(g):
+    goals = g.symbols.where("type = 'method'").select(F.col("id").alias("target"))
+    pairs = _seed_names(g).select(F.col("seed").alias("source")).crossJoin(F.broadcast(goals))
+    steps = investigate.main_paths(g.calls, pairs, 3)
+    return investigate.coverage(investigate.handoff_steps(g.propagation_events, g.calls, steps, pairs, 50), g.symbols, pairs, 50)

@@ -116,6 +116,12 @@ FROM files WHERE k % 10 <> 0""",
     "include_dependencies": """
 SELECT 'p' || cast(page_id % 60 AS {{string}}) AS source_file, 'p' || cast(length(href) * 7 % 60 AS {{string}}) AS included_file, cast(min(pos) + 1 AS int) AS line, length(href) % 4 = 0 AS is_system_include
 FROM pages {{hrefs}} GROUP BY 1, 2, 4""",
+    "source_files": """
+SELECT 'gen/' || cast(k % 50 AS {{string}}) || '/f' || cast(k AS {{string}}) || '.cpp' AS path,
+  '#include "' || name || '.h"' || chr(10) || CASE WHEN k % 4 = 0 THEN '#include <' || lower(kind) || '> // x' ELSE '#include <' || lower(kind) || '>' END || chr(10) || repeat('#include "inc.h"' || chr(10), size)
+  || CASE WHEN k % 3 = 0 THEN '#ifdef HAS_' || kind || chr(10) || '#define F_' || name || '(x) x' || chr(10) || 'int ' || name || '(int a) ' || chr(123) || chr(10) || chr(125) || chr(10) || '#endif' || chr(10) ELSE '#define V_' || name || ' ' || cast(size AS {{string}}) || chr(10) END
+  || CASE WHEN k % 5 = 0 THEN '#if X' || chr(10) || '#ifndef Y' || chr(10) || 'struct S ' || chr(123) || chr(10) || '#endif' || chr(10) || '#endif' || chr(10) ELSE '' END || 'int x;' AS text
+FROM part_ids""",
     "tool_calls": """
 SELECT event_type AS tool_name, value AS elapsed_ms, event_type <> 'error' AS ok, ts AS called_at, event_id AS k FROM events""",
 }
