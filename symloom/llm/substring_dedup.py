@@ -29,7 +29,7 @@ from symloom.llm.words import gram_hashes, spans, word_hashes
 GRAM = 6
 HOT = 200
 #: Suffixes of hot runs that a task holds to merge equal ones.
-HELD = 150_000
+HELD = 50_000
 _PLACES = "hash long, tag long, doc_id long, at long"
 _RECORDS = "key long, doc_id long, start long, mask long, body binary"
 
@@ -93,7 +93,10 @@ def _cut(width: int):
 
         for batch in batches:
             for doc_id, text, spots, twin in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spots"), batch.column("twin").to_pylist(), strict=True):
-                if doc_id is None or not spots.is_valid or (twin is not None and twin < doc_id):
+                if doc_id is None or not spots.is_valid:
+                    continue
+                if twin is not None and twin < doc_id:
+                    rows.append((doc_id, doc_id, 0, 0, None))
                     continue
                 spots = np.unique(spots.values.to_numpy(zero_copy_only=False))
                 if not len(spots):
@@ -153,7 +156,10 @@ class SuffixTree:
 
 
 def _grow(width: int):
-    """From stretches sorted by prefix: a mask of the windows at start, start + 1, ... that occur earlier."""
+    """From stretches sorted by prefix: start << 20 | mask of the windows at start, start + 1, ... that occur earlier.
+
+    Rows without a body pass their mark through; 0 marks a whole document.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int] = []
@@ -204,13 +210,13 @@ def _keep(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for doc_id, text, codes, twin in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("codes"), batch.column("twin").to_pylist(), strict=True):
+            for doc_id, text, codes in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("codes"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 sizes.append(len(words))
-                if doc_id is not None and twin is not None and twin < doc_id and len(words) >= width:
+                codes = codes.values.to_numpy(zero_copy_only=False) if codes.is_valid and doc_id is not None and len(words) >= width else ()
+                if len(codes) and not codes.all():  # code 0: the whole document
                     words = []
-                elif codes.is_valid and len(codes) and len(words) >= width:
-                    codes = codes.values.to_numpy(zero_copy_only=False)
+                elif len(codes):
                     cover = np.zeros(len(words) + 1, np.int64)
                     for bit in range(16):
                         starts = (codes >> 20)[(codes >> bit & 1).astype(bool)] + bit
@@ -246,5 +252,5 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     stretches = texts.join(repeated, "doc_id", "left").select("doc_id", "text", "spots", "twin").mapInArrow(_cut(width), _RECORDS)
     marks = stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_grow(width), "doc_id long, code long")
     marks = marks.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
-    judged = texts.join(repeated.select("doc_id", "twin"), "doc_id", "left").join(marks, "doc_id", "left").select("doc_id", "text", "codes", "twin")
+    judged = texts.join(marks, "doc_id", "left").select("doc_id", "text", "codes")
     return judged.mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import strings as S
 from symloom.operators.lookup import CALLABLE
+from symloom.operators.traverse import cut
 
 MAX_HOPS = 16
 
@@ -114,7 +115,7 @@ def override_closure(references: DataFrame, max_hops: int = MAX_HOPS) -> DataFra
     step = edges.select(F.col("base_id").alias("derived_id"), F.col("derived_id").alias("next"))
     for _ in range(max_hops - 1):
         frontier = frontier.join(step, "derived_id").select("base_id", F.col("next").alias("derived_id")).where("base_id != derived_id").distinct()
-        frontier = frontier.join(reached, ["base_id", "derived_id"], "left_anti").checkpoint() if frontier.sparkSession.sparkContext.getCheckpointDir() else frontier.join(reached, ["base_id", "derived_id"], "left_anti").persist()
+        frontier = cut(frontier.join(reached, ["base_id", "derived_id"], "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.union(frontier)

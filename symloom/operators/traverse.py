@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the checkpoint folder; kept in memory and on disk where none is set (local runs)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df without its lineage, in spark.checkpoint.dir; kept in memory and on disk where that is unset (local runs)."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
 
 
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, fan_out: int | None = None, first: int | None = None) -> DataFrame:

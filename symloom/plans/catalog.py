@@ -414,14 +414,14 @@ r AS (SELECT *, {_RANK} AS rank FROM l), o AS (SELECT *, row_number() OVER (PART
 f AS (SELECT id, arg_min(signature, (file_path, line)) FILTER (WHERE signature IS NOT NULL) AS signature, arg_min(subsystem, (file_path, line)) FILTER (WHERE subsystem IS NOT NULL) AS subsystem, arg_min(header_role, (file_path, line)) FILTER (WHERE header_role IS NOT NULL) AS header_role,
   arg_min(struct_pack(p := decl_path, l := decl_line), (file_path, line)) FILTER (WHERE decl_path IS NOT NULL) AS decl, arg_min(struct_pack(p := def_path, l := def_line), (file_path, line)) FILTER (WHERE def_path IS NOT NULL) AS def, arg_max(struct_pack(p := def_path, l := def_line), (file_path, line)) FILTER (WHERE def_path IS NOT NULL AND symbol_role = 'definition') AS last FROM l GROUP BY id)
 SELECT o.id, o.file_path, o.line, o.symbol_role, coalesce(o.signature, f.signature) AS signature, coalesce(o.subsystem, f.subsystem) AS subsystem, coalesce(o.header_role, f.header_role) AS header_role, coalesce(o.decl_path, f.decl.p) AS declaration_file_path,
-  CASE WHEN o.decl_path IS NOT NULL THEN o.decl_line ELSE f.decl.l END AS declaration_line, coalesce(f.last.p, o.def_path, f.def.p) AS definition_file_path, CASE WHEN f.last IS NOT NULL THEN f.last.l WHEN o.def_path IS NOT NULL THEN o.def_line ELSE f.def.l END AS definition_line, o.parse_fragility
+  coalesce(CASE WHEN o.decl_path IS NOT NULL THEN o.decl_line ELSE f.decl.l END, 0) AS declaration_line, coalesce(f.last.p, o.def_path, f.def.p) AS definition_file_path, coalesce(CASE WHEN f.last IS NOT NULL THEN f.last.l WHEN o.def_path IS NOT NULL THEN o.def_line ELSE f.def.l END, 0) AS definition_line, o.parse_fragility
 FROM o JOIN f USING (id) WHERE n = 1"""
 _MERGED = ["id", "file_path", "line", "symbol_role", "signature", "subsystem", "header_role", "declaration_file_path", "declaration_line", "definition_file_path", "definition_line", "parse_fragility"]
 
 
 @query(_D1)
 def d1_merge_symbols(g):
-    return merge.merge_symbols(g.symbols_raw).select(*_MERGED)
+    return merge.merge_symbols(g.symbols_raw).select(*_MERGED).na.fill(0, ["declaration_line", "definition_line"])
 
 
 @query(f"SELECT id, file_path, line, {_RANK} AS rank FROM (SELECT *, definition_file_path AS def_path FROM symbols_raw)")
@@ -429,9 +429,9 @@ def d2_representative_rank(g):
     return g.symbols_raw.select("id", "file_path", "line", merge.rank().alias("rank"))
 
 
-@query("SELECT id, CASE WHEN declaration_file_path IS NULL AND symbol_role = 'declaration' THEN file_path ELSE declaration_file_path END AS declaration_file_path, CASE WHEN definition_file_path IS NULL AND symbol_role IN ('definition', 'inline_definition') THEN line ELSE definition_line END AS definition_line FROM symbols_raw")
+@query("SELECT id, CASE WHEN declaration_file_path IS NULL AND symbol_role = 'declaration' THEN file_path ELSE declaration_file_path END AS declaration_file_path, CASE WHEN definition_file_path IS NULL AND symbol_role IN ('definition', 'inline_definition') THEN line ELSE coalesce(definition_line, 0) END AS definition_line FROM symbols_raw")
 def d3_own_locations(g):
-    return merge.with_own_locations(g.symbols_raw).select("id", "declaration_file_path", "definition_line")
+    return merge.with_own_locations(g.symbols_raw).select("id", "declaration_file_path", "definition_line").na.fill(0, ["definition_line"])
 
 
 def _sites(g) -> DataFrame:
@@ -695,10 +695,10 @@ def s17_integrity(g):
 # ---- shapes
 
 
-@query("WITH t AS (SELECT callee_id, count(DISTINCT caller_id) AS total FROM calls GROUP BY 1) SELECT callee_id, greatest(0, least(10, total - 5)) AS returned, total, total > 15 AS has_more, CASE WHEN total > 15 THEN 15 END AS next_offset FROM t")
+@query("WITH t AS (SELECT callee_id, count(DISTINCT caller_id) AS total FROM calls GROUP BY 1) SELECT callee_id, greatest(0, least(10, total - 5)) AS returned, total, total > 15 AS has_more, CASE WHEN total > 15 THEN 15 ELSE -1 END AS next_offset FROM t")
 def r1_result_window(g):
     totals = g.calls.groupBy("callee_id").agg(F.count_distinct("caller_id").alias("total"))
-    return totals.select("callee_id", shape.result_window(F.col("total"), 10, 5).alias("w")).select("callee_id", "w.*")
+    return totals.select("callee_id", shape.result_window(F.col("total"), 10, 5).alias("w")).select("callee_id", "w.*").na.fill(-1, ["next_offset"])
 
 
 @query(f"""
