@@ -29,7 +29,7 @@ from symloom.llm.words import gram_hashes, spans, word_hashes
 GRAM = 6
 HOT = 200
 #: Suffixes of hot runs that a task holds to merge equal ones.
-HELD = 150_000
+HELD = 50_000
 _PLACES = "hash long, tag long, doc_id long, at long"
 _RECORDS = "key long, doc_id long, start long, mask long, body binary"
 
