@@ -15,8 +15,8 @@ from symloom.llm.storage import settle
 
 
 def _only(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
-    """The rows of docs whose doc_id judged keeps; rows without a doc_id go."""
-    return docs.join(judged.where(keep).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs whose doc_id judged keeps; rows without a doc_id go. By shuffle at every size: ids grow with docs."""
+    return docs.join(judged.where(keep).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
