@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from symloom.llm.near_dedup import near_duplicates
 from symloom.llm.perplexity import classify
 from symloom.llm.pieces import encode_pieces
 from symloom.llm.queries import vocabulary
-from symloom.llm.storage import settle
+from symloom.llm.storage import discard_paths, scope, settle
 
 
 def _only(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
@@ -19,26 +21,48 @@ def _only(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
     return docs.join(judged.where(keep).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
 
 
+_scratch: set[str] = set()
+
+
+def _stage(function):
+    """A stage's intermediate tables stay until the next stage begins: its result is written by then, as STAGES asks."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_paths(_scratch)
+        with scope() as paths:
+            out = function(spark, docs, sf_dir)
+        _scratch.update(paths)
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is no worse than that of trusted text."""
     return _only(docs, classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), F.col("kept"))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text; repeated rows once."""
     return _only(docs, exact_dedup(docs), F.col("kept")).dropDuplicates(["doc_id"])
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
     return _only(docs, near_duplicates(docs, percent=80, width=5), F.col("kept"))
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     return _only(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), ~F.col("contaminated"))
 
 
+@_stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of every document."""
     ids = encode_pieces(docs, vocabulary("piece_bpe_32k.model"), keep=("lang", "source"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_scopes: list[set[str]] = []
 
 
 @cache
@@ -33,6 +36,8 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/symloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
+    for scope in _scopes:
+        scope.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
@@ -45,6 +50,22 @@ def discard(*tables: DataFrame) -> None:
             _delete(path)
 
 
+@contextmanager
+def scope() -> Iterator[set[str]]:
+    """The paths of what is settled inside, for discard_paths once no action reads them any more."""
+    paths: set[str] = set()
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+
+
+def discard_paths(paths: set[str]) -> None:
+    while paths:
+        _delete(paths.pop())
+
+
 def _delete(path: str) -> None:
     spark = _written.pop(path, None)
     if spark is not None and spark.sparkContext._jsc is not None:
