@@ -12,16 +12,19 @@ from symloom.operators.traverse import cut
 MAX_HOPS = 16
 
 
-def include_bonus(source: Column, target: Column) -> Column:
-    """How near a candidate's file is to the caller's: at most 0."""
-    folder = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
-    a, b = F.split(folder(source), "/"), F.split(folder(target), "/")
-    same = F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(b))), F.slice(b, 1, F.least(F.size(a), F.size(b))), lambda x, y: x == y)
-    differs = F.array_position(same, F.lit(False))
-    common = F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise(differs - 1)
+def _folder(path: Column) -> Column:
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+
+
+def folder_bonus(source: Column, target: Column) -> Column:
+    """How near a candidate's folder is to the caller's: at most 0."""
+    a, b = F.split(source, "/"), F.split(target, "/")
+    shorter = F.least(F.size(a), F.size(b))
+    differs = F.array_position(F.zip_with(F.slice(a, 1, shorter), F.slice(b, 1, shorter), lambda x, y: x == y), F.lit(False))
+    common = F.when(differs == 0, shorter).otherwise(differs - 1)
     hops = F.size(a) + F.size(b) - 2 * common
-    distance = F.when(source == target, 0).when((folder(source) == folder(target)) & (folder(source) != ""), -1).when(hops <= 2, -1).when(hops <= 5, hops).otherwise(hops * 2)
-    return F.when(distance == 0, -50).when(distance < 0, -30).when(distance <= 3, distance * -8).otherwise(distance * -15)
+    distance = F.when((source == target) & (source != ""), -1).when(hops <= 2, -1).when(hops <= 5, hops).otherwise(hops * 2)
+    return F.when(distance < 0, -30).when(distance <= 3, distance * -8).otherwise(distance * -15)
 
 
 def _space(qualified: Column, parent: Column) -> Column:
@@ -30,36 +33,43 @@ def _space(qualified: Column, parent: Column) -> Column:
     return F.when(name.contains("::"), F.regexp_replace(name, "::[^:]*$", ""))
 
 
+def plus_if(condition: Column, points: int) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), points).otherwise(0)
+
+
 def candidates(raw: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
     """Every raw call (with a unique site_id) with the callables of its name and their scores."""
     caller = symbols.select(F.col("id").alias("caller_id"), F.col("parent_id").alias("caller_parent"), _space(F.col("qualified_name"), F.col("parent_id")).alias("caller_space"))
     bases = references.where("category = 'inheritanceMention'").groupBy(F.col("source_symbol_id").alias("caller_parent")).agg(F.collect_set("target_symbol_id").alias("bases"))
+    path = F.col("file_path")
+    own = plus_if((F.col("header_role") == "public") & S.header(path), 15) + plus_if(S.implementation(path) & ~S.header(path), 20)
+    own = own + plus_if(F.col("signature").contains("<") & F.col("signature").contains(">") & (F.col("name").contains("<") | F.col("name").contains(":")), 30)
     targets = symbols.where(F.col("type").isin(*CALLABLE)).select(
-        F.col("name").alias("called_name"), F.col("id").alias("callee_id"), F.col("type").alias("callee_type"), "parent_id", F.col("file_path").alias("callee_path"), "parameter_count", "signature", "header_role", _space(F.col("qualified_name"), F.col("parent_id")).alias("space")
+        F.col("name").alias("called_name"), F.col("id").alias("callee_id"), F.col("type").alias("callee_type"), "parent_id", path.alias("callee_path"), "parameter_count", "signature",
+        S.arity(F.col("signature")).alias("arity"), S.leaf(F.col("parent_id")).alias("parent_leaf"), _space(F.col("qualified_name"), F.col("parent_id")).alias("space"), own.alias("own_score"),
     )
-    rows = raw.join(targets, "called_name").join(caller.join(bases, "caller_parent", "left"), "caller_id", "left")
-    rows = rows.withColumn("near", F.max(include_bonus(F.col("file_path"), F.col("callee_path"))).over(Window.partitionBy("site_id")))
-    # one candidate in the caller's file makes the relation of the call that of the same file
-    rows = rows.withColumn("any_same", F.max((F.col("file_path") == F.col("callee_path")).cast("int")).over(Window.partitionBy("site_id")) == 1)
-    plus = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    # how near the name's candidates are depends on the caller's folder and file alone
+    folders = raw.select("called_name", _folder(F.col("file_path")).alias("folder")).distinct().join(targets.select("called_name", _folder(F.col("callee_path")).alias("callee_folder")).distinct(), "called_name")
+    near = folders.groupBy("called_name", "folder").agg(F.max(folder_bonus(F.col("folder"), F.col("callee_folder"))).alias("near"))
+    same = targets.select("called_name", F.col("callee_path").alias("file_path"), F.lit(True).alias("any_same")).distinct()
+    sites = raw.withColumn("folder", _folder(F.col("file_path"))).join(near, ["called_name", "folder"]).join(same, ["called_name", "file_path"], "left").withColumn("any_same", F.coalesce("any_same", F.lit(False)))
+    rows = sites.join(caller.join(bases, "caller_parent", "left"), "caller_id", "left").join(targets, "called_name")
+    plus = plus_if
     kind, mine = F.col("call_kind"), F.col("file_path") == F.col("callee_path")
     bonus = F.when(F.col("any_same"), -50).otherwise(F.col("near"))
     direct, transitive = (bonus == -30) & ~F.col("any_same"), (bonus >= -24) & (bonus < 0) & ~F.col("any_same")
-    arity = S.arity(F.col("signature"))
     score = (
         plus((kind != "qualified") & (F.col("parent_id") == F.col("caller_parent")), 100)
         + plus(F.col("space") == F.col("caller_space"), 50)
         + plus((kind != "qualified") & F.array_contains("bases", F.col("parent_id")), 90)
         + plus((kind == "thisPointerAccess") & (F.col("parent_id") == F.col("caller_parent")), 80)
         + plus(kind.isin("memberAccess", "pointerMemberAccess") & (F.col("callee_type") == "method"), 30)
-        + plus((kind == "qualified") & (F.col("qualifier_kind") == "type") & ((F.col("parent_id") == F.col("qualifier")) | (S.leaf(F.col("parent_id")) == F.col("qualifier"))), 90)
+        + plus((kind == "qualified") & (F.col("qualifier_kind") == "type") & ((F.col("parent_id") == F.col("qualifier")) | (F.col("parent_leaf") == F.col("qualifier"))), 90)
         + plus((kind == "qualified") & (F.col("qualifier_kind") == "namespace") & (F.col("space") == F.col("qualifier")), 70)
-        + F.when(F.col("parameter_count").isNotNull(), plus(F.col("parameter_count") == F.col("argument_count"), 60)).otherwise(plus(arity == F.col("argument_count"), 40))
+        + F.when(F.col("parameter_count").isNotNull(), plus(F.col("parameter_count") == F.col("argument_count"), 60)).otherwise(plus(F.col("arity") == F.col("argument_count"), 40))
         + F.when(mine & F.col("any_same"), 40).when(direct, 25).when(transitive, 10).otherwise(0)
         + F.when(~mine & (bonus < 0), bonus).otherwise(0)
-        + plus((F.col("header_role") == "public") & S.header(F.col("callee_path")), 15)
-        + plus(S.implementation(F.col("callee_path")) & ~S.header(F.col("callee_path")), 20)
-        + plus(F.col("signature").contains("<") & F.col("signature").contains(">") & (F.col("called_name").contains("<") | F.col("called_name").contains(":")), 30)
+        + F.col("own_score")
     )
     if "argument_texts" in raw.columns:
         score = score + argument_hints(F.col("argument_texts"), F.col("signature"))
@@ -83,9 +93,9 @@ def argument_hints(texts: Column, signature: Column) -> Column:
 
 def best_candidates(scored: DataFrame) -> DataFrame:
     """One candidate a site: the top score; of several at the top the smallest id, and only if the score is positive."""
-    out = scored.groupBy("site_id").agg(F.max(F.struct("score")).alias("top"), F.min_by("callee_id", F.struct((-F.col("score")).alias("s"), F.col("callee_id").alias("i"))).alias("callee_id"), F.collect_list("score").alias("scores"))
-    ties = F.size(F.filter("scores", lambda s: s == F.col("top.score")))
-    return out.where((ties == 1) | (F.col("top.score") > 0)).select("site_id", "callee_id", F.col("top.score").alias("score"))
+    tied = scored.groupBy("site_id", "score").agg(F.count(F.lit(1)).alias("ties"), F.min("callee_id").alias("callee_id"))
+    top = tied.groupBy("site_id").agg(F.max_by(F.struct("score", "ties", "callee_id"), "score").alias("t"))
+    return top.where("t.ties = 1 or t.score > 0").select("site_id", "t.callee_id", "t.score")
 
 
 def resolve_calls(raw: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:

@@ -437,7 +437,7 @@ def d3_own_locations(g):
 def _sites(g) -> DataFrame:
     """Raw calls, equal ones once, each with an id."""
     keys = ["caller_id", "called_name", "call_kind", "argument_count", "receiver", "qualifier", "qualifier_kind", "pre_resolved_callee_id", "file_path", "line"]
-    return g.raw_calls.select(*keys).distinct().withColumn("site_id", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256))
+    return g.raw_calls.select(*keys).distinct().withColumn("site_id", F.struct(F.xxhash64(*keys, *[F.col(k).isNull() for k in keys]), F.xxhash64(F.lit(1), *keys, *[F.col(k).isNull() for k in keys])))
 
 
 _SPACE = "CASE WHEN contains({n}, '::') THEN regexp_replace({n}, '::[^:]*$', '') END"

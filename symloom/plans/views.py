@@ -30,7 +30,7 @@ SELECT k, name, brand || '::' || name || '#' || cast(k AS {{string}}) AS id, bra
 SELECT n_nationkey AS k, r_name || '::' || n_name AS id, n_name AS name, r_name AS region, 'include/' || lower(r_name) || '/n' || cast(n_nationkey AS {{string}}) || '.hpp' AS path
 FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "supplier_ids": """
-SELECT s_suppkey AS k, id || '::m' || cast(s_suppkey % 7 AS {{string}}) || '#' || cast(s_suppkey AS {{string}}) AS id, 'm' || cast(s_suppkey % 7 AS {{string}}) AS name, id AS parent, path, s_nationkey AS nation
+SELECT s_suppkey AS k, id || '::m' || cast(s_suppkey % 29 AS {{string}}) || '#' || cast(s_suppkey AS {{string}}) AS id, 'm' || cast(s_suppkey % 29 AS {{string}}) AS name, id AS parent, path, s_nationkey AS nation
 FROM supplier JOIN nation_ids ON s_nationkey = nation_ids.k""",
     "symbols": f"""
 SELECT r_name AS id, r_name AS name, r_name AS qualified_name, 'namespace' AS type, 'include/' || lower(r_name) || '/all.hpp' AS file_path, 1 AS line, 400 AS end_line, {_EMPTY} AS signature, cast(null AS int) AS parameter_count,
