@@ -18,7 +18,7 @@ _NEVER = float("inf")
 class Memo(dict):
     """Remembers `make(key)` of short keys; forgets all at `limit` entries."""
 
-    def __init__(self, make: Callable, limit: int = 500_000, longest: int = 64) -> None:
+    def __init__(self, make: Callable, limit: int = 300_000, longest: int = 64) -> None:
         self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
@@ -76,7 +76,7 @@ class PrefixBpe:
         pair = left, right
         found = self.beside.get(pair)
         if found is None:
-            if len(self.beside) >= 400_000:
+            if len(self.beside) >= 200_000:
                 self.beside.clear()
             ours, theirs, i, j, found = self._steps(left), self._steps(right), 0, 0, True
             while True:

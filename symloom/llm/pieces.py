@@ -125,7 +125,7 @@ _codecs: dict[bytes, PieceCodec] = {}
 
 
 def codec(model: bytes) -> PieceCodec:
-    """One for each process: what it has remembered serves its later tasks."""
+    """One for each process."""
     key = hashlib.sha256(model).digest()
     if key not in _codecs:
         _codecs.clear()
@@ -152,6 +152,9 @@ def encode_pieces(docs: DataFrame, model: str | Path, keep: tuple[str, ...] = ()
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
+        known.units.clear()  # an idle worker holds no memory of its last task
+        if isinstance(known.engine, PrefixBpe):
+            known.engine.beside.clear()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))

@@ -105,7 +105,7 @@ _counters: dict[bytes, PrefixCounter] = {}
 
 
 def counter(vocabulary: bytes) -> PrefixCounter:
-    """One for each process: what it has remembered serves its later tasks."""
+    """One for each process."""
     key = hashlib.sha256(vocabulary).digest()
     if key not in _counters:
         _counters.clear()
@@ -142,6 +142,8 @@ def token_prefixes(docs: DataFrame, vocabulary: str | Path) -> DataFrame:
             sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
             tokens = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(steps, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "prefix_steps"])
+        known.units.clear()  # an idle worker holds no memory of its last task
+        known.bpe.beside.clear()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, prefix_steps binary")
