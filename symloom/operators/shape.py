@@ -40,3 +40,18 @@ def tool_stats(calls: DataFrame) -> DataFrame:
 def recent_calls(calls: DataFrame, n: int = 20) -> DataFrame:
     """The newest n calls."""
     return calls.orderBy(F.desc("called_at"), F.desc("k")).limit(n).select("k", "tool_name", "called_at")
+
+
+#: The columns of compact answers.
+COMPACT_COLUMNS = {
+    "symbol": ("id", "qualified_name", "type", "file_path", "line"),
+    "caller": ("callee_id", "caller_id", "file_path", "line"),
+    "reference": ("target_symbol_id", "source_symbol_id", "category", "file_path", "line"),
+    "member": ("owner", "id", "type"),
+    "propagation": ("id", "side", "propagation_kind", "file_path", "line"),
+}
+
+
+def compact_rows(rows: DataFrame, kind: str) -> DataFrame:
+    """The columns of rows that a compact answer of the kind has."""
+    return rows.select(*[c for c in COMPACT_COLUMNS[kind] if c in rows.columns])

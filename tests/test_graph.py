@@ -174,6 +174,17 @@ def test_flow_is_the_longest_chain(spark):
     assert [r.line for r in flow.trace(events, ids, 9, max_edges=1).collect()] == [1]
 
 
+def test_summaries_and_compact_rows(spark):
+    from symloom.operators import shape
+
+    fresh = spark.createDataFrame([("f", "new")], "callable_symbol_id string, file_path string")
+    stored = spark.createDataFrame([("f", "old"), ("g", "old")], "callable_symbol_id string, file_path string")
+    assert {tuple(r) for r in flow.union_summaries(fresh, stored).collect()} == {("f", "new"), ("g", "old")}
+    events = spark.createDataFrame([("a", "x", None, "y")], "source_anchor_id string, source_expression_text string, target_anchor_id string, target_expression_text string")
+    assert tuple(flow.without_texts(events).first()) == ("a", None, None, "y")
+    assert shape.compact_rows(symbols(spark, {"id": "f"}), "symbol").columns == ["id", "qualified_name", "type", "file_path", "line"]
+
+
 def test_an_incremental_build_equals_a_full_one(spark):
     stored = spark.createDataFrame([("a", "1"), ("b", "2"), ("old", "3")], "path string, content_hash string")
     disk = spark.createDataFrame([("a", "1"), ("b", "9"), ("new", "3"), ("bad", None)], "path string, content_hash string")
