@@ -41,40 +41,64 @@ def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, fan_out: int | No
     return reached
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
-    """(seed, goal, length, path) for each pair that is connected within max_depth.
-
-    Of equally short paths that which first-in-first-out search finds: the least by the ranks of its edges, and ranks
-    follow ord and dst.
-    """
+def _searched(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_depth: int) -> DataFrame:
+    """(seed, node, ranks, path): the best path to each node that a seed reaches; at max_depth only the nodes of goals (goal)."""
     order = Window.partitionBy("src").orderBy("ord", "dst")
     numbered = cut(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")).select("src", "dst", F.row_number().over(order).alias("n")))
-    frontier = cut(pairs.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.array().cast("array<int>").alias("ranks"), F.array("seed").alias("path")))
+    # the last level leads nowhere: of it only goals count
+    last = numbered.join(goals.select(F.col("goal").alias("dst")).distinct(), "dst", "left_semi")
+    frontier = cut(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.array().cast("array<int>").alias("ranks"), F.array("seed").alias("path")))
     reached = frontier
-    for _ in range(max_depth):
-        new = frontier.join(numbered, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.concat("ranks", F.array("n")).alias("ranks"), F.concat("path", F.array("dst")).alias("path"))
+    for depth in range(1, max_depth + 1):
+        step = last if depth == max_depth else numbered
+        new = frontier.join(step, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.concat("ranks", F.array("n")).alias("ranks"), F.concat("path", F.array("dst")).alias("path"))
         best = new.groupBy("seed", "node").agg(F.min(F.struct("ranks", "path")).alias("b")).select("seed", "node", "b.ranks", "b.path")
         frontier = cut(best.join(reached.select("seed", "node"), ["seed", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         reached = cut(reached.union(frontier))
-    found = reached.join(pairs.select("seed", F.col("goal").alias("node")), ["seed", "node"])
+    return reached
+
+
+def _as_paths(found: DataFrame) -> DataFrame:
     return found.select("seed", F.col("node").alias("goal"), (F.size("path") - 1).alias("length"), F.array_join("path", ">").alias("path"))
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    """(seed, goal, length, path) for each pair that is connected within max_depth.
+
+    Of equally short paths that which first-in-first-out search finds: the least by the ranks of its edges, and ranks
+    follow ord and dst.
+    """
+    return _as_paths(_searched(edges, pairs, pairs, max_depth).join(pairs.select("seed", F.col("goal").alias("node")), ["seed", "node"]))
+
+
+def paths_to_goals(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_depth: int) -> DataFrame:
+    """shortest_paths of every seed (seeds: seed) with every goal (goals: goal), without making the pairs."""
+    return _as_paths(_searched(edges, seeds, goals, max_depth).join(goals.select(F.col("goal").alias("node")), "node", "left_semi"))
+
+
 def call_tree(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, node_cap: int = 200) -> DataFrame:
     """(seed, position, depth, node, path): simple paths from each seed in preorder, the first node_cap - 1 of them.
 
     A level keeps the first node_cap - 1 rows of a seed: what comes after a dropped row in preorder comes after those.
+    Before the next level, rows go whose predecessors and their children alone are as many.
     """
     order = Window.partitionBy("src").orderBy("ord", "dst")
-    numbered = cut(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")).select("src", "dst", F.row_number().over(order).alias("n")))
+    numbered = edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")).select("src", "dst", F.row_number().over(order).alias("n"))
+    degrees = numbered.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("degree"))
+    numbered = cut(numbered.join(degrees, "dst", "left").select("src", "dst", "n", F.coalesce("degree", F.lit(0)).alias("degree")))
     level = seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.array().cast("array<int>").alias("ranks"), F.array("seed").alias("path"))
     all_levels = None
     by_seed = Window.partitionBy("seed").orderBy("ranks")
-    for _ in range(max_depth):
-        level = level.join(numbered, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("seed", F.col("dst").alias("node"), F.concat("ranks", F.array("n")).alias("ranks"), F.concat("path", F.array("dst")).alias("path"))
-        level = cut(level.withColumn("k", F.row_number().over(by_seed)).where(F.col("k") < node_cap).drop("k"))
+    # at least so many children: those that are on the path already are none
+    weight = 1 + F.greatest(F.col("degree") - F.size("path"), F.lit(0))
+    for depth in range(1, max_depth + 1):
+        level = level.drop("degree").join(numbered, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("seed", F.col("dst").alias("node"), F.concat("ranks", F.array("n")).alias("ranks"), F.concat("path", F.array("dst")).alias("path"), "degree")
+        level = level.withColumn("k", F.row_number().over(by_seed)).where(F.col("k") < node_cap)
+        if depth < max_depth:
+            level = level.withColumn("before", F.sum(weight).over(by_seed.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < node_cap - 1).drop("before")
+        level = cut(level.drop("k"))
         all_levels = level if all_levels is None else all_levels.union(level)
         if level.isEmpty():
             break
@@ -87,17 +111,28 @@ def tree_shape(tree: DataFrame) -> DataFrame:
     return tree.groupBy("seed").agg(F.count(F.lit(1)).alias("n_edges"), F.max("depth").alias("depth"))
 
 
-def impact(calls: DataFrame, references: DataFrame, symbols: DataFrame, seeds: DataFrame, max_depth: int = 2, limit: int = 50, top: int = 10) -> DataFrame:
+def impact(calls: DataFrame, references: DataFrame, symbols: DataFrame, seeds: DataFrame, max_depth: int = 2, limit: int = 50, top: int = 10, flags: bool = False) -> DataFrame:
     """(seed, symbol_id, n, position): how often each symbol turns up around a seed, the first `top`.
 
-    Once for each direction of the call graph in which it is reached, and once for each direct reference.
+    Once for each direction of the call graph in which it is reached, and once for each direct reference. flags adds
+    total, how many symbols turn up around the seed, and truncated: a node on the way has more than `limit` edges.
     """
     down = calls.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), F.col("line").alias("ord"))
     up = calls.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst"), F.col("line").alias("ord"))
-    visits = [levels(e, seeds, max_depth, limit, limit).where("depth > 0").select("seed", F.col("node").alias("symbol_id")) for e in (down, up)]
+    reached = [levels(e, seeds, max_depth, limit, limit) for e in (down, up)]
+    visits = [r.where("depth > 0").select("seed", F.col("node").alias("symbol_id")) for r in reached]
     mentions = references.join(seeds.select(F.col("seed").alias("target_symbol_id")), "target_symbol_id").select(F.col("target_symbol_id").alias("seed"), F.col("source_symbol_id").alias("symbol_id"))
     counted = visits[0].union(visits[1]).union(mentions).join(symbols.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").groupBy("seed", "symbol_id").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("position", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("n"), "symbol_id"))).where(F.col("position") <= top)
+    by_seed = Window.partitionBy("seed")
+    if flags:
+        counted = counted.withColumn("total", F.count(F.lit(1)).over(by_seed))
+    first = counted.withColumn("position", F.row_number().over(by_seed.orderBy(F.desc("n"), "symbol_id"))).where(F.col("position") <= top)
+    if not flags:
+        return first
+    hubs = [e.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("k")).where(F.col("k") > limit) for e in (down, up)]
+    met = [r.where(F.col("depth") < max_depth).join(h, "node", "left_semi").select("seed") for r, h in zip(reached, hubs, strict=True)]
+    cut_short = met[0].union(met[1]).distinct().withColumn("truncated", F.lit(True))
+    return first.join(cut_short, "seed", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def include_closure(includes: DataFrame, max_depth: int = 10) -> DataFrame:

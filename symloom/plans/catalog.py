@@ -359,8 +359,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY len(ranks),
 SELECT seed, node AS goal, len(ranks) AS length, array_to_string(path, '>') AS path FROM b WHERE k = 1 AND node IN (SELECT id FROM symbols WHERE type = 'method')""")
 def g12_trace_call_path(g):
     goals = g.symbols.where("type = 'method'").select(F.col("id").alias("goal"))
-    # the pairs asked for: the few seeds of one name with every method
-    return traverse.shortest_paths(_edges(g), _seed_names(g).crossJoin(F.broadcast(goals)), 3)
+    return traverse.paths_to_goals(_edges(g), _seed_names(g), goals, 3)
 
 
 @query(f"""
@@ -376,6 +375,51 @@ def g13_impact(g):
     return traverse.impact(g.calls, g.symbol_references, g.symbols, _seed_names(g), max_depth=2, limit=5, top=10)
 
 
+# the same for whole tables: every callable is a seed, limits are the operators' defaults
+
+
+def _callables(g) -> DataFrame:
+    return g.symbols.where(F.col("type").isin(*lookup.CALLABLE)).select(F.col("id").alias("seed"))
+
+
+_ALL = "(SELECT id AS seed FROM symbols WHERE type IN ('function', 'method'))"
+
+
+@query()
+def g10_callgraph_all(g):
+    return traverse.call_tree(_edges(g), _callables(g))
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT callee_id AS src, caller_id AS dst FROM calls),
+t AS (SELECT seed, seed AS node, 0 AS depth FROM {_ALL} UNION SELECT seed, dst, depth + 1 FROM t JOIN e ON src = node WHERE depth < 2)
+SELECT seed, node, min(depth) AS depth FROM t GROUP BY ALL""")
+def g11_callers_recursive_all(g):
+    up = g.calls.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst"), F.col("line").alias("ord"))
+    return traverse.levels(up, _callables(g), 2)
+
+
+@query()
+def g12_trace_call_path_all(g):
+    goals = g.symbols.where("type = 'method'").select(F.col("id").alias("goal"))
+    return traverse.paths_to_goals(_edges(g), _callables(g), goals, 3)
+
+
+@query(f"""
+WITH dn AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY ord, dst) AS n FROM (SELECT caller_id AS src, callee_id AS dst, min(line) AS ord FROM calls GROUP BY 1, 2)),
+un AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY ord, dst) AS n FROM (SELECT callee_id AS src, caller_id AS dst, min(line) AS ord FROM calls GROUP BY 1, 2)),
+d AS (SELECT src, dst FROM dn WHERE n <= 50), u AS (SELECT src, dst FROM un WHERE n <= 50), dh AS (SELECT DISTINCT src FROM dn WHERE n > 50), uh AS (SELECT DISTINCT src FROM un WHERE n > 50),
+h AS (SELECT src AS seed FROM dh UNION SELECT src FROM uh UNION SELECT d.src FROM d JOIN dh ON dh.src = d.dst UNION SELECT u.src FROM u JOIN uh ON uh.src = u.dst),
+v AS (
+  SELECT DISTINCT seed, node, 1 AS dir FROM (SELECT seed, dst AS node FROM {_ALL} JOIN d ON src = seed UNION SELECT seed, e.dst FROM {_ALL} JOIN d ON d.src = seed JOIN d e ON e.src = d.dst) WHERE node <> seed
+  UNION ALL SELECT DISTINCT seed, node, 2 FROM (SELECT seed, dst AS node FROM {_ALL} JOIN u ON src = seed UNION SELECT seed, e.dst FROM {_ALL} JOIN u ON u.src = seed JOIN u e ON e.src = u.dst) WHERE node <> seed
+  UNION ALL SELECT target_symbol_id, source_symbol_id, 3 FROM symbol_references WHERE target_symbol_id IN (SELECT seed FROM {_ALL})),
+c AS (SELECT seed, node AS symbol_id, count(*) AS n FROM v WHERE node IN (SELECT id FROM symbols) GROUP BY ALL)
+SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY seed) AS total, row_number() OVER (PARTITION BY seed ORDER BY n DESC, symbol_id) AS position, seed IN (SELECT seed FROM h) AS truncated FROM c) WHERE position <= 10""")
+def g13_impact_all(g):
+    return traverse.impact(g.calls, g.symbol_references, g.symbols, _callables(g), flags=True)
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT target_symbol_id AS b, source_symbol_id AS d FROM symbol_references WHERE category = 'methodOverride' AND target_symbol_id <> source_symbol_id),
 t AS (SELECT b, d, 1 AS n FROM e UNION SELECT t.b, e.d, n + 1 FROM t JOIN e ON e.b = t.d WHERE n < 16 AND t.b <> e.d)
@@ -784,7 +828,8 @@ def s5_hashed_sources(g):
 
 @query()
 def g17_investigate_workflow(g):
+    # a row for every pair of a callable and a method, connected or not
     goals = g.symbols.where("type = 'method'").select(F.col("id").alias("target"))
-    pairs = _seed_names(g).select(F.col("seed").alias("source")).crossJoin(F.broadcast(goals))
+    pairs = _callables(g).select(F.col("seed").alias("source")).crossJoin(goals)
     steps = investigate.main_paths(g.calls, pairs, 3)
     return investigate.coverage(investigate.handoff_steps(g.propagation_events, g.calls, steps, pairs, 50), g.symbols, pairs, 50)

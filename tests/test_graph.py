@@ -212,3 +212,53 @@ def test_the_rest_stands_without_the_corpus_operators(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
+
+
+def _paths_by_walking(duck, depth):
+    """Per callable the simple call paths down to depth in preorder, and the first shortest path to each node."""
+    edges = duck.execute(catalog.duckdb_sql("SELECT caller_id, callee_id FROM calls GROUP BY 1, 2 ORDER BY 1, min(line), 2")).fetchall()
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+
+    def tree(path):
+        for b in out.get(path[-1], []):
+            if b not in path and len(path) <= depth:
+                yield [*path, b]
+                yield from tree([*path, b])
+
+    def shortest(seed):
+        best, level = {seed: [seed]}, [[seed]]
+        for _ in range(depth):
+            level, before = [], level
+            for path in before:
+                for b in out.get(path[-1], []):
+                    if b not in best:
+                        best[b] = [*path, b]
+                        level.append(best[b])
+        return best
+
+    return tree, shortest
+
+
+def test_every_callable_is_a_seed(spark, duck):
+    from itertools import islice
+
+    kinds = dict(duck.execute(catalog.duckdb_sql("SELECT id, type FROM symbols WHERE type IN ('function', 'method')")).fetchall())
+    tree, shortest = _paths_by_walking(duck, 3)
+    want = {(s, k, len(p) - 1, p[-1], ">".join(p)) for s in kinds for k, p in enumerate(islice(tree([s]), 199), 1)}
+    got = [tuple(r) for r in catalog.QUERIES["g10_callgraph_all"](spark, DATA).collect()]
+    assert len(got) == len(want) > 0 and set(got) == want
+    want = {(s, n, len(p) - 1, ">".join(p)) for s in kinds for n, p in shortest(s).items() if kinds.get(n) == "method"}
+    got = [tuple(r) for r in catalog.QUERIES["g12_trace_call_path_all"](spark, DATA).collect()]
+    assert len(got) == len(want) > 0 and set(got) == want
+    linked = {(s, n) for s, n, length, _ in want if length}
+    pairs = catalog.QUERIES["g17_investigate_workflow"](spark, DATA).select("source", "target", "path_found").collect()
+    assert {(r.source, r.target) for r in pairs} == {(s, n) for s in kinds for n, kind in kinds.items() if kind == "method"}
+    assert {(r.source, r.target) for r in pairs if r.path_found} == linked
+
+
+def test_impact_of_every_callable_has_totals_and_flags(spark, duck):
+    got = catalog.QUERIES["g13_impact_all"](spark, DATA).collect()
+    assert {r.truncated for r in got} == {True, False} and max(r.total for r in got) > 10
+    assert {r.seed for r in got} == {r[0] for r in duck.execute(catalog.duckdb_sql("SELECT id FROM symbols WHERE type IN ('function', 'method')")).fetchall()}
