@@ -136,6 +136,16 @@ def test_noise_is_rejected_and_text_is_kept(spark):
     assert classify(spark.createDataFrame([], DOCS), labels).count() == 0
 
 
+def test_languages_without_trusted_documents_are_not_judged(spark):
+    rng = random.Random(16)
+    say = lambda sounds: " ".join("".join(rng.choice(sounds) for _ in range(3)) for _ in range(30))
+    rows = [(k, say(["ta", "ke", "mi"]), "en", "s", "x") for k in range(60)] + [(k, say(["woj", "bru", "xyl"]), "zz", "s", "x") for k in range(60, 80)] + [(80, "", "zz", "s", "x"), (81, say(["#", "&", "Q"]), "en", "s", "x")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert all(got[k].kept and got[k].threshold is None for k in range(60, 80))
+    assert not got[80].kept and not got[81].kept and got[0].threshold > 1
+
+
 def test_grams_end_at_each_character():
     assert len(grams("ab☃")) == 3 and grams("").size == 0
     assert grams("xab")[-1] & ((1 << 24) - 1) == grams("yab")[-1] & ((1 << 24) - 1)
