@@ -146,6 +146,15 @@ def test_languages_without_trusted_documents_are_not_judged(spark):
     assert not got[80].kept and not got[81].kept and got[0].threshold > 1
 
 
+def test_toxic_documents_are_not_trusted(spark):
+    rng = random.Random(17)
+    say = lambda sounds: " ".join("".join(rng.choice(sounds) for _ in range(3)) for _ in range(30))
+    rows = [(k, say(["ta", "ke", "mi"]), "en", "s", "x") for k in range(60)] + [(k, say(["woj", "bru", "xyl"]), "en", "s", "x") for k in range(60, 80)]
+    marks = [(k, 1, [0, None][k % 2]) for k in range(50)] + [(k, 1, 1) for k in range(60, 70)] + [(k, 1, 0) for k in range(70, 80)] + [(k, 0, 1) for k in range(70, 80)]
+    got = {r.doc_id: r.kept for r in classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[k] for k in range(50)) and not any(got[k] for k in range(60, 80))
+
+
 def test_grams_end_at_each_character():
     assert len(grams("ab☃")) == 3 and grams("").size == 0
     assert grams("xab")[-1] & ((1 << 24) - 1) == grams("yab")[-1] & ((1 << 24) - 1)
