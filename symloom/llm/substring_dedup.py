@@ -1,20 +1,18 @@
-"""Substring deduplication: suffixes in prefix-partitioned suffix trees, deep internal nodes for repeats.
-
-Which suffixes can repeat is found first. Of the `GRAM`-word runs inside a window the one with the smallest hash is the
-window's anchor; equal windows have equal anchors at equal offsets, so a window repeats only if its anchor's run does.
-Runs are counted over the corpus (one in eight word positions is an anchor), and only suffixes that begin in windows of
-repeated anchors go on, each with its anchor's stretch of text.
-
-Suffixes are split by prefix: those around an anchor meet in one tree by the anchor's run; where a run has more than
-`HOT` places, the prefix is made as long as the window, and each task first merges its own equal suffixes. A tree is
-built from the sorted suffixes of one prefix and their common prefixes; the uppermost nodes at least a window deep have
-the occurrences of a repeat below them. All but the earliest leaf are marked. A document whose words all equal those of
-an earlier document is marked whole, and its suffixes go nowhere.
+"""Substring deduplication: prefix-partitioned suffix trees, whose deep internal nodes give the maximal repeats.
+
+1. Which suffixes begin a repeat is asked of the whole corpus (`exchange`): a window (`width` words) that occurs once is
+   a leaf of its own and needs no tree; of the others it is told whether different words stand before its occurrences.
+   A repeat that always follows the same word is part of a longer one, so only suffixes with different words before
+   them enter trees, and one more each `REACH` windows of a stretch, so that no suffix is longer than a stretch.
+2. Suffixes are split by prefix. The bytes below each word prefix are counted level by level; a prefix with more than
+   `TREE_BYTES` below it is lengthened until each of its longer ones fits. Where a whole window has more, its suffixes
+   are cut into windows and equal ones are merged in the tasks that read them, before they meet.
+3. Each prefix's suffixes make one suffix tree. A node at least `width` words deep is a repeat; the windows that
+   begin between its parent's depth and its own occur at all leaves below it, first at the smallest.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,182 +20,219 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.llm.exchange import ASKED, answers, ask, passed, read_answers
 from symloom.llm.near_dedup import _groups
-from symloom.llm.storage import shuffle_partitions
-from symloom.llm.words import gram_hashes, spans, word_hashes
+from symloom.llm.storage import discard, settle, shuffle_partitions
+from symloom.llm.words import gram_hashes, mix, spans, word_hashes
 
-GRAM = 6
-HOT = 200
-#: Suffixes of hot runs that a task holds to merge equal ones.
+#: Bytes of text of one chunk, of the keys that one range answers (times 12), and below one prefix.
+CHUNK_BYTES, PART_BYTES, TREE_BYTES = 4_000_000, 12_000_000, 4_000_000
+REACH = 32
+#: Windows of too common prefixes that a task holds to merge equal ones.
 HELD = 50_000
-_PLACES = "hash long, tag long, doc_id long, at long"
-_RECORDS = "key long, doc_id long, start long, mask long, body binary"
+#: Prefixes too common for one tree are broadcast up to so many.
+BROADCAST_ROWS = 500_000
+_SUFFIXES = "doc_id long, digest long, at long, body string"
+_SUFFIX_TYPES = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int64()), ("body", pa.string())])
+_MARKS = "doc_id long, digest long, code long"
+_MARK_TYPES = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("code", pa.int64())])
+
+
+class _Chunk:
+    """The windows of a chunk's documents, in an order that does not depend on that of the rows."""
+
+    def __init__(self, rows: pa.Table, width: int) -> None:
+        rows = rows.sort_by([("doc_id", "ascending"), ("digest", "ascending")])
+        self.number = rows.column("chunk")[0].as_py() if len(rows) else -1
+        self.ids = list(zip(rows.column("doc_id").to_pylist(), rows.column("digest").to_pylist(), strict=True))
+        self.texts: list[bytes] = []
+        hashes, before, sizes = [], [], []
+        for (doc_id, digest), text in zip(self.ids, rows.column("text"), strict=True):
+            data = text.as_py().encode()
+            starts, ends = spans(data)
+            words = word_hashes(data, starts, ends)
+            grams = gram_hashes(words, width)
+            hashes.append(grams)
+            # before the first word stands a text's beginning, another one for each text
+            beginning = mix(np.array([doc_id * 31 + digest & 2**64 - 1], np.uint64))
+            before.append(np.concatenate([beginning, words])[: len(grams)])
+            sizes.append(len(grams))
+            self.texts.append(data)
+        self.windows = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.before = (np.concatenate(before) if before else np.zeros(0, np.uint64)) & np.uint64((1 << 48) - 1)
+        self.ends = np.cumsum(np.array(sizes, np.int64))
+
+    def shortened(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct shortened windows, where each window is among them, and how often they occur here."""
+        return np.unique(self.windows >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+
+
+def _ask_first(parts: int, bits: int, width: int):
+    """From a chunk's texts: the blocks of shortened windows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        chunk = _Chunk(rows, width)
+        keys, _, n = chunk.shortened(bits)
+        return ask(chunk.number, keys, (n > 1).astype(np.uint8), None, parts, bits)
 
+    return run
 
-def _anchors(grams: np.ndarray, windows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors and, of each, the first and the last window that it is the anchor of."""
-    inside = np.lib.stride_tricks.sliding_window_view(grams, width - GRAM + 1)[:windows]
-    at = inside.argmin(axis=1) + np.arange(windows)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[first], first, np.append(first[1:], windows) - 1
 
+def _told(table: pa.Table) -> list[tuple[int, bytes]]:
+    return list(zip(table.column("part").to_pylist(), table.column("bits").to_pylist(), strict=True))
 
-def _places(width: int):
-    """From texts: the anchors' runs (tag 0), and each whole word sequence (tag odd) at -1."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, tags, docs, ats = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = (text.as_py() or "").encode()
-                starts, ends = spans(data)
-                windows = len(starts) - width + 1
-                if doc_id is None or windows < 1:
-                    continue
-                grams = gram_hashes(word_hashes(data, starts, ends), GRAM)
-                at, _, _ = _anchors(grams, windows, width)
-                whole = hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest()
-                hashes += [grams[at].view(np.int64), np.frombuffer(whole[:8], np.int64)]
-                tags += [np.zeros(len(at), np.int64), np.frombuffer(whole[8:], np.int64) | 1]
-                docs.append(np.full(len(at) + 1, doc_id, np.int64))
-                ats += [at.astype(np.int64), np.array([-1])]
-                if len(docs) >= 500:
-                    yield _batch(hashes, tags, docs, ats)
-                    hashes, tags, docs, ats = [], [], [], []
-            if docs:
-                yield _batch(hashes, tags, docs, ats)
+def _distinct(chunk: _Chunk, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows among those that may repeat, how often each occurs here, and the word before each occurrence."""
+    hashes, before = chunk.windows[may], chunk.before[may]
+    order = np.argsort(hashes, kind="stable")
+    hashes, before = hashes[order], before[order]
+    return hashes, before, np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+
+
+def _ask_second(parts: int, bits: int, width: int):
+    """From a chunk's texts and the first answers: blocks of the windows that may repeat, with the words before them."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        chunk = _Chunk(rows, width)
+        keys, at, _ = chunk.shortened(bits)
+        may = read_answers(keys, _told(told), parts, bits)[0][at]
+        hashes, before, heads = _distinct(chunk, may)
+        if not len(heads):
+            return passed(chunk.number, np.packbits(may).tobytes())
+        n = np.diff(np.append(heads, len(hashes)))
+        differ = np.minimum.reduceat(before, heads) != np.maximum.reduceat(before, heads)
+        flags = (n > 1).astype(np.uint8) | differ.astype(np.uint8) << 1
+        return pa.concat_tables([ask(chunk.number, hashes[heads], flags, before[heads], parts), passed(chunk.number, np.packbits(may).tobytes())])
 
     return run
 
 
-def _batch(*columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["hash", "tag", "doc_id", "at"])
+def _cut(parts: int, width: int):
+    """From a chunk's texts and the second answers: the suffixes that enter trees, each as long as its stretch."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        chunk = _Chunk(rows, width)
+        both = _told(told)
+        may = next((np.unpackbits(np.frombuffer(data, np.uint8), count=len(chunk.windows)).astype(bool) for part, data in both if part < 0), None)
+        if may is not None and may.any():
+            hashes, _, heads = _distinct(chunk, may)
+            facts = read_answers(hashes[heads], [x for x in both if x[0] >= 0], parts)
+            which = np.searchsorted(hashes[heads], chunk.windows[may])
+            repeats, varied = np.zeros(len(may), bool), np.zeros(len(may), bool)
+            repeats[may], varied[may] = facts[0][which], (facts[0] & facts[1])[which]
+            enters = varied.copy()
+            place = np.arange(len(may))
+            enters |= repeats & ((place - np.maximum.accumulate(np.where(varied, place, 0))) % REACH == 0)
+            first = 0
+            for k, end in enumerate(chunk.ends.tolist()):
+                starts = np.flatnonzero(enters[first:end])
+                if len(starts):
+                    # a stretch ends before the next suffix that enters, or at its last repeated window
+                    alone = np.append(np.flatnonzero(~repeats[first:end]), end - first)
+                    stops = np.minimum(np.append(starts[1:], end - first), alone[np.searchsorted(alone, starts)])
+                    words = chunk.texts[k].split()
+                    out += [(*chunk.ids[k], a, b" ".join(words[a : b + width - 1])) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                first = end
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        made = [pa.array(c, pa.int64()) for c in columns[:3]]
+        return pa.table([*made, pa.array(columns[3], pa.binary()).cast(pa.string())], schema=_SUFFIX_TYPES)
+
+    return run
 
 
-def _cut(width: int):
-    """From texts and the places of repeated runs: the stretches around them, and what a task can mark itself."""
+def _merge_windows(width: int):
+    """From suffixes of too common prefixes: their windows, equal ones merged as far as a task holds them.
+
+    A row without a body is the mark of a window that occurs earlier.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        owners: dict[bytes, tuple[int, int, int]] = {}
+        owners: dict[str, tuple[int, int, int]] = {}
+        late: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["key", "doc_id", "start", "mask", "body"])
-            rows.clear()
-            return made
-
-        def let_go() -> None:
-            rows.extend((key, doc, start, 1, body) for body, (doc, start, key) in owners.items())
-            owners.clear()
+            late.extend((*place, body) for body, place in owners.items())
+            columns = list(zip(*late, strict=True)) or [()] * 4
+            owners.clear(), late.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUFFIX_TYPES, strict=True)], schema=_SUFFIX_TYPES)
 
         for batch in batches:
-            for doc_id, text, spots, twin in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spots"), batch.column("twin").to_pylist(), strict=True):
-                if doc_id is None or not spots.is_valid:
-                    continue
-                if twin is not None and twin < doc_id:
-                    rows.append((doc_id, doc_id, 0, 0, None))
-                    continue
-                spots = np.unique(spots.values.to_numpy(zero_copy_only=False))
-                if not len(spots):
-                    continue
-                data = text.as_py().encode()
-                starts, ends = spans(data)
-                hashes = word_hashes(data, starts, ends)
-                grams = gram_hashes(hashes, GRAM)
-                at, low, high = _anchors(grams, len(starts) - width + 1, width)
-                full = gram_hashes(hashes, width) if (spots & 1).any() else None
-                words = data.split()
-                which = np.searchsorted(at, spots >> 1)
-                for k, hot in zip(which.tolist(), (spots & 1).tolist(), strict=True):
-                    a, b = int(low[k]), int(high[k])
-                    if not hot:
-                        rows.append((int(grams[at[k]].view(np.int64)), doc_id, a, (1 << (b - a + 1)) - 1, b" ".join(words[a : b + width])))
-                        continue
-                    for s in range(a, b + 1):
-                        body = b" ".join(words[s : s + width])
-                        mine, other = (doc_id, s, int(full[s].view(np.int64))), owners.get(body)
-                        if other is None or mine < other:
-                            owners[body] = mine
-                            mine = other
-                        if mine is not None and mine[:2] != owners[body][:2]:
-                            rows.append((mine[0], mine[0], mine[1], 1, None))
-                    if len(owners) > HELD:
-                        let_go()
-                if len(rows) > 20_000:
+            for doc_id, digest, at, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "at", "body")), strict=True):
+                words = body.split(" ")
+                for k in range(len(words) - width + 1):
+                    window, mine = " ".join(words[k : k + width]), (doc_id, digest, at + k)
+                    other = owners.get(window)
+                    if other is None:
+                        owners[window] = mine
+                    elif mine != other:
+                        owners[window] = min(mine, other)
+                        late.append((*max(mine, other), None))
+                if len(owners) + len(late) > HELD:
                     yield flush()
-        let_go()
         yield flush()
 
     return run
 
 
 class SuffixTree:
-    """The suffix tree of some word sequences below one prefix, as sorted suffixes and the depth they share, in words."""
-
-    def __init__(self, suffixes: list[tuple[bytes, int, tuple]]) -> None:
-        """suffixes: the bytes from the suffix on, how many of them make the first window, and the leaf's place."""
-        self.suffixes = sorted(suffixes)
-
-    def repeats(self) -> Iterator[list[tuple]]:
-        """The leaves below each uppermost internal node that is at least a window deep."""
-        leaves: list[tuple] = []
-        above = b""
-        for suffix, size, leaf in self.suffixes:
-            # sorted neighbours share a window iff the node between them is that deep
-            if leaves and suffix.startswith(above):
-                leaves.append(leaf)
-                continue
-            if len(leaves) > 1:
-                yield leaves
-            leaves, above = [leaf], suffix[:size]
-        if len(leaves) > 1:
-            yield leaves
+    """The suffix tree of some suffixes (words, each with a blank behind it, and a leaf) below one prefix."""
+
+    def __init__(self, suffixes: list[tuple[bytes, tuple]]) -> None:
+        self.leaves = sorted(suffixes)
+        #: the internal nodes, deeper ones first below each: (depth in words, depth of the parent, first leaf, end of leaves)
+        self.nodes: list[tuple[int, int, int, int]] = []
+        stack: list[tuple[int, int]] = []  # depth, first leaf
+        for k in range(1, len(self.leaves) + 1):
+            shared = _shared_words(self.leaves[k - 1][0], self.leaves[k][0]) if k < len(self.leaves) else 0
+            first = k - 1
+            while stack and stack[-1][0] > shared:
+                depth, first = stack.pop()
+                self.nodes.append((depth, max(shared, stack[-1][0] if stack else 0), first, k))
+            if shared and (not stack or stack[-1][0] < shared):
+                stack.append((shared, first))
+
+    def repeats(self, width: int) -> Iterator[tuple[int, int, list[tuple]]]:
+        """Of each node at least width deep: the first offset and the number of the windows that end below its parent, its leaves."""
+        for depth, above, first, end in self.nodes:
+            if depth >= width:
+                low = max(0, above - width + 1)
+                yield low, depth - width + 1 - low, [leaf for _, leaf in self.leaves[first:end]]
+
+
+def _shared_words(a: bytes, b: bytes) -> int:
+    if b.startswith(a):
+        return a.count(b" ")
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return a.count(b" ", 0, low)
 
 
 def _grow(width: int):
-    """From stretches sorted by prefix: start << 20 | mask of the windows at start, start + 1, ... that occur earlier.
-
-    Rows without a body pass their mark through; 0 marks a whole document.
-    """
+    """From suffixes sorted by prefix: start << 20 | n of the n windows from start on that occur earlier."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[int] = []
-        codes: list[int] = []
+        marks: list[tuple[int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(codes, pa.int64())], ["doc_id", "code"])
-            docs.clear(), codes.clear()
-            return made
+            columns = list(zip(*marks, strict=True)) or [()] * 3
+            marks.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_MARK_TYPES)
 
         for group in _groups(batches, ["key"]):
-            suffixes: list[tuple[bytes, int, tuple]] = []
-            columns = [group.column(c).to_pylist() for c in ("doc_id", "start", "mask", "body")]
-            if len(columns[0]) == 1 and columns[3][0] is not None and columns[2][0] == 1:
-                continue
-            for doc_id, start, mask, body in zip(*columns, strict=True):
-                if body is None:
-                    docs.append(doc_id)
-                    codes.append(start << 20 | mask)
-                    continue
-                body += b" "
-                ends, at = [0], body.find(b" ")
-                while at >= 0:
-                    ends.append(at + 1)
-                    at = body.find(b" ", at + 1)
-                suffixes += [(body[ends[k] :], ends[k + width] - ends[k], (doc_id, start + k)) for k in range(len(ends) - width)]
-            late: dict[int, dict[int, int]] = {}
-            for leaves in SuffixTree(suffixes).repeats():
-                first = min(leaves)
-                for doc_id, start in leaves:
-                    if (doc_id, start) != first:
-                        by_block = late.setdefault(doc_id, {})
-                        by_block[start // 16] = by_block.get(start // 16, 0) | 1 << start % 16
-            for doc_id, blocks in late.items():
-                for block, mask in blocks.items():
-                    docs.append(doc_id)
-                    codes.append(block * 16 << 20 | mask)
-            if len(docs) > 50_000:
+            if len(group) > 1:
+                leaves = zip(*(group.column(c).to_pylist() for c in ("doc_id", "digest", "at")), strict=True)
+                suffixes = [(body.encode() + b" ", leaf) for body, leaf in zip(group.column("body").to_pylist(), leaves, strict=True)]
+                for low, n, below in SuffixTree(suffixes).repeats(width):
+                    first = min(below)
+                    marks += [(doc, digest, at + low << 20 | n) for doc, digest, at in below if (doc, digest, at) != first]
+            if len(marks) > 50_000:
                 yield flush()
         yield flush()
 
@@ -210,18 +245,15 @@ def _keep(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for doc_id, text, codes in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("codes"), strict=True):
+            for text, codes in zip(batch.column("text"), batch.column("codes"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 sizes.append(len(words))
-                codes = codes.values.to_numpy(zero_copy_only=False) if codes.is_valid and doc_id is not None and len(words) >= width else ()
-                if len(codes) and not codes.all():  # code 0: the whole document
-                    words = []
-                elif len(codes):
+                if codes.is_valid:
+                    marks = codes.values.to_numpy(zero_copy_only=False)
+                    first = marks >> 20
                     cover = np.zeros(len(words) + 1, np.int64)
-                    for bit in range(16):
-                        starts = (codes >> 20)[(codes >> bit & 1).astype(bool)] + bit
-                        np.add.at(cover, starts, 1)
-                        np.add.at(cover, starts + width, -1)
+                    np.add.at(cover, first, 1)
+                    np.add.at(cover, first + (marks & 0xFFFFF) + width - 1, -1)
                     stays = np.cumsum(cover[:-1]) == 0
                     words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
                 gone.append(sizes[-1] - len(words))
@@ -231,26 +263,70 @@ def _keep(width: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
+def _levels(width: int) -> list[int]:
+    """Words of the prefixes that are tried: 1, 2, 4 and so on, at last a whole window."""
+    return [2**k for k in range(width.bit_length()) if 2**k < width] + [width]
+
+
+def prefixed(suffixes: DataFrame, width: int, tree_bytes: int) -> DataFrame:
+    """Suffixes with key, a hash of the shortest prefix that has at most tree_bytes below it; null where even a window has more."""
+    keyed, key, waiting = suffixes, F.lit(None).cast("long"), suffixes
+    chosen = []
+    for words in _levels(width):
+        prefix = F.xxhash64(F.lit(words), F.substring_index("body", " ", words))
+        # at most (bytes of all suffixes) / tree_bytes rows
+        common = settle(waiting.groupBy(prefix.alias("prefix")).agg(F.sum(F.octet_length("body") + 32).alias("bytes")).where(F.col("bytes") > tree_bytes).select("prefix", F.lit(True).alias(f"common_{words}")))
+        count = common.count()
+        side = F.broadcast(common) if count <= BROADCAST_ROWS else common
+        chosen.append((F.col(f"common_{words}").isNull(), prefix))
+        keyed = keyed.join(side, prefix == F.col("prefix"), "left").drop("prefix")
+        if not count:
+            break
+        waiting = waiting.join(side, prefix == F.col("prefix"), "left_semi")
+    for fits, prefix in reversed(chosen):
+        key = F.when(fits, prefix).otherwise(key)
+    return keyed.select(*suffixes.columns, key.alias("key"))
+
+
+def late_windows(docs: DataFrame, width: int = 20, tree_bytes: int = TREE_BYTES) -> DataFrame:
+    """(doc_id, digest, code) of the windows that also start earlier: code is start << 20 | n for n windows in line.
+
+    docs has doc_id, digest and text, none of them null; of different texts with one doc_id the smaller digest is earlier.
+    """
+    partitions = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    chunks = max(2 * partitions, size // CHUNK_BYTES)
+    parts = max(partitions, size // PART_BYTES)
+    bits = min(64, max(16, size.bit_length()) + 12)
+    chunked = docs.select("doc_id", "digest", "text", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(chunks)).alias("chunk")).repartition(partitions, "chunk")
+    by_chunk = chunked.groupBy("chunk")
+    first = answers(by_chunk.applyInArrow(_ask_first(parts, bits, width), ASKED), parts, bits)
+    second = answers(by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_ask_second(parts, bits, width), ASKED), parts)
+    suffixes = settle(by_chunk.cogroup(second.groupBy("chunk")).applyInArrow(_cut(parts, width), _SUFFIXES))
+    keyed = prefixed(suffixes, width, tree_bytes)
+    merged = keyed.where("key is null").drop("key").mapInArrow(_merge_windows(width), _SUFFIXES)
+    rows = keyed.where("key is not null").union(merged.where("body is not null").withColumn("key", F.xxhash64(F.lit(-1), "body")))
+    grown = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_grow(width), _MARKS)
+    marks = settle(grown.union(merged.where("body is null").select("doc_id", "digest", F.expr("at << 20 | 1L"))))
+    discard(suffixes)
+    return marks
+
+
+def substring_dedup(docs: DataFrame, width: int = 20, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space) of every row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. A word goes when a window of `width` words that covers it also starts earlier:
     in a smaller doc_id, or before in the same document; windows are judged on the input. Null texts and those of
     fewer words lose nothing. A row with a null doc_id loses nothing and owns nothing. Rows that repeat a doc_id and
-    its text get the same result, and none is earlier than another; one doc_id must not have different texts. No rows
-    give no rows; other columns are not read. width is more than GRAM and at most 20 + GRAM - 5.
+    its text get the same result, and none is earlier than another; of rows that share a doc_id but not the text the
+    one whose text has the smaller 64-bit hash is earlier. No rows give no rows; other columns are not read. A text is
+    held whole by one task, with some twenty times its bytes; it must have fewer than 2**43 words.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    places = rows.mapInArrow(_places(width), _PLACES)
-    counts = places.groupBy("hash", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    spot = F.when(F.col("tag") == 0, F.col("at") * 2 + (F.col("n") > HOT).cast("long"))
-    repeated = places.join(counts, ["hash", "tag"]).groupBy("doc_id").agg(F.collect_list(spot).alias("spots"), F.min(F.when(F.col("tag") != 0, F.col("first"))).alias("twin"))
-
-    # the same exchange twice: the texts are shuffled once
-    texts = rows.repartition(shuffle_partitions(spark), "doc_id")
-    stretches = texts.join(repeated, "doc_id", "left").select("doc_id", "text", "spots", "twin").mapInArrow(_cut(width), _RECORDS)
-    marks = stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_grow(width), "doc_id long, code long")
-    marks = marks.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
-    judged = texts.join(marks, "doc_id", "left").select("doc_id", "text", "codes")
-    return judged.mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept string")
+    # a window has at least width characters and the blanks between
+    long_enough = F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * width - 1)
+    texts = rows.where(long_enough).withColumn("digest", F.xxhash64("text"))
+    codes = late_windows(texts, width, tree_bytes).groupBy("doc_id", "digest").agg(F.collect_set("code").alias("codes"))
+    judged = texts.join(codes.hint("shuffle_hash"), ["doc_id", "digest"], "left").select("doc_id", "text", "codes")
+    rest = rows.where(~F.coalesce(long_enough, F.lit(False))).select("doc_id", "text", F.lit(None).cast("array<long>").alias("codes"))
+    return judged.union(rest).mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept string")

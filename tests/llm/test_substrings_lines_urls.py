@@ -14,25 +14,27 @@ from symloom.llm.url_filter import UrlTrie, judge_urls, split_url
 DOCS = "doc_id long, text string, kept string, source string"
 
 
-def brute(rows, width):
+def brute(rows, width, digests):
+    """digests: of each text; of different texts that share a doc_id the one with the smaller digest is earlier."""
     first, out = {}, []
-    tokens = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, (_, t) in enumerate(rows)}
-    for k, (i, _) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
-        for s in range(len(tokens[k]) - width + 1) if i is not None else ():
-            at = first.setdefault(tuple(tokens[k][s : s + width]), (i, s))
-            first[tuple(tokens[k][s : s + width])] = min(at, (i, s))
-    for k, (i, _) in enumerate(rows):
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    for (i, t), w in zip(rows, tokens, strict=True):
+        for s in range(len(w) - width + 1) if i is not None else ():
+            at = i, digests[t], s
+            window = tuple(w[s : s + width])
+            first[window] = min(first.get(window, at), at)
+    for (i, t), w in zip(rows, tokens, strict=True):
         gone = set()
-        for s in range(len(tokens[k]) - width + 1) if i is not None else ():
-            if first[tuple(tokens[k][s : s + width])] != (i, s):
+        for s in range(len(w) - width + 1) if i is not None else ():
+            if first[tuple(w[s : s + width])] != (i, digests[t], s):
                 gone |= set(range(s, s + width))
-        out.append((i, len(tokens[k]), len(gone), " ".join(w for n, w in enumerate(tokens[k]) if n not in gone)))
+        out.append((i, len(w), len(gone), " ".join(x for n, x in enumerate(w) if n not in gone)))
     return sorted(out, key=str)
 
 
 def corpus():
     rng = random.Random(11)
-    vocabulary = [f"w{k}" for k in range(200)]
+    vocabulary = [f"w{k}é" if k % 5 == 0 else f"w{k}" for k in range(200)]
     passages = [[rng.choice(vocabulary) for _ in range(rng.choice([19, 20, 21, 60]))] for _ in range(6)]
     rows = []
     for k in range(120):
@@ -42,16 +44,55 @@ def corpus():
             text[at:at] = rng.choice(passages)
         rows.append((k * 37 % 127, rng.choice([" ", "\n", "\t "]).join(text)))
     copy = rows[3][1] + " " + " ".join(passages[3])
-    return rows + [(500, copy), (501, copy.replace(" ", "\n")), (None, copy), (502, None), (503, ""), (504, "z " * 300), rows[5]]
+    near = copy.split()
+    near[25:25] = ["other"]
+    shared = [(600, copy + " a"), (600, "b " + copy), (600, " ".join(near)), (601, copy + " a"), (602, "z z z " * 40)]
+    return rows + shared + [(500, copy), (501, copy.replace(" ", "\n")), (None, copy), (502, None), (503, ""), (504, "z " * 300), rows[5], (505, "é " * 5000)]
 
 
-@pytest.mark.parametrize(("hot", "held"), [(200, 150_000), (2, 5)])
-def test_substrings_against_brute_force(spark, monkeypatch, hot, held):
-    monkeypatch.setattr(S, "HOT", hot)
+@pytest.mark.parametrize(("tree_bytes", "held", "reach"), [(4_000_000, 50_000, 32), (2_000, 5, 7), (50, 100, 1)])
+def test_substrings_against_brute_force(spark, monkeypatch, tree_bytes, held, reach):
     monkeypatch.setattr(S, "HELD", held)
+    monkeypatch.setattr(S, "REACH", reach)
     rows = corpus()
-    got = substring_dedup(spark.createDataFrame([(*r, "clash", "s") for r in rows], DOCS).repartition(3)).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows, 20)
+    docs = spark.createDataFrame([(*r, "clash", "s") for r in rows], DOCS).repartition(3)
+    digests = {r.text: r.digest for r in docs.selectExpr("text", "xxhash64(text) AS digest").collect()}
+    got = substring_dedup(docs, tree_bytes=tree_bytes).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 20, digests)
+
+
+def test_prefixes_are_lengthened_until_they_fit(spark):
+    rng = random.Random(3)
+    bodies = [" ".join(rng.choice("abc") for _ in range(24)) for _ in range(400)] + ["x " * 23 + "x"] * 50
+    suffixes = spark.createDataFrame([(k, 0, 0, b) for k, b in enumerate(bodies)], "doc_id long, digest long, at long, body string")
+    got = S.prefixed(suffixes, 20, 1_000).collect()
+    below = Counter()
+    for r in got:
+        below[r.key] += len(r.body) + 32
+    assert {r.body for r in got if r.key is None} == {bodies[-1]}
+    assert len(got) == 450 and max(n for key, n in below.items() if key is not None) <= 1_000
+    # one prefix has one key, and the shortest that fits is taken
+    for words in (1, 2, 4):
+        size = Counter(" ".join(b.split()[:words]) for b in bodies for _ in range(len(b) + 32))
+        assert all(len({r.key for r in got if r.body.startswith(p + " ")}) == 1 for p, n in size.items() if n <= 1_000)
+
+
+def test_tree_has_the_nodes_of_its_suffixes():
+    rng = random.Random(4)
+    words = [tuple(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    tree = S.SuffixTree([("".join(w + " " for w in t).encode(), (k, 0, 0)) for k, t in enumerate(words)])
+    assert tree.leaves == sorted(tree.leaves)
+    got = {(depth, above, frozenset(leaf[0] for _, leaf in tree.leaves[a:b])) for depth, above, a, b in tree.nodes}
+    want = set()
+    for size in range(1, 9):
+        for p in {t[:size] for t in words if len(t) >= size}:
+            below = frozenset(k for k, t in enumerate(words) if t[:size] == p)
+            goes_on = {words[k][size : size + 1] for k in below}
+            if len(below) > 1 and (len(goes_on) > 1 or goes_on == {()}):
+                above = max((d for d in range(size) if {k for k, t in enumerate(words) if t[:d] == p[:d]} != set(below)), default=0)
+                # the parent is the deepest prefix with more suffixes below it
+                want.add((size, above, below))
+    assert got == want
 
 
 def test_empty_tables(spark):
