@@ -270,19 +270,18 @@ def _levels(width: int) -> list[int]:
 
 def prefixed(suffixes: DataFrame, width: int, tree_bytes: int) -> DataFrame:
     """Suffixes with key, a hash of the shortest prefix that has at most tree_bytes below it; null where even a window has more."""
-    keyed, key, waiting = suffixes, F.lit(None).cast("long"), suffixes
+    keyed, key = suffixes, F.lit(None).cast("long")
     chosen = []
     for words in _levels(width):
         prefix = F.xxhash64(F.lit(words), F.substring_index("body", " ", words))
         # at most (bytes of all suffixes) / tree_bytes rows
-        common = settle(waiting.groupBy(prefix.alias("prefix")).agg(F.sum(F.octet_length("body") + 32).alias("bytes")).where(F.col("bytes") > tree_bytes).select("prefix", F.lit(True).alias(f"common_{words}")))
+        common = settle(suffixes.groupBy(prefix.alias("prefix")).agg(F.sum(F.octet_length("body") + 32).alias("bytes")).where(F.col("bytes") > tree_bytes).select("prefix", F.lit(True).alias(f"common_{words}")))
         count = common.count()
         side = F.broadcast(common) if count <= BROADCAST_ROWS else common
         chosen.append((F.col(f"common_{words}").isNull(), prefix))
         keyed = keyed.join(side, prefix == F.col("prefix"), "left").drop("prefix")
-        if not count:
+        if not count:  # then no longer prefix has more either
             break
-        waiting = waiting.join(side, prefix == F.col("prefix"), "left_semi")
     for fits, prefix in reversed(chosen):
         key = F.when(fits, prefix).otherwise(key)
     return keyed.select(*suffixes.columns, key.alias("key"))
