@@ -26,7 +26,7 @@ from symloom.llm.storage import discard, settle, shuffle_partitions
 from symloom.llm.words import gram_hashes, mix, spans, word_hashes
 
 #: Bytes of text of one chunk, of the keys that one range answers (times 12), and below one prefix.
-CHUNK_BYTES, PART_BYTES, TREE_BYTES = 4_000_000, 12_000_000, 4_000_000
+CHUNK_BYTES, PART_BYTES, TREE_BYTES = 4_000_000, 12_000_000, 1_000_000
 REACH = 32
 #: Windows of too common prefixes that a task holds to merge equal ones.
 HELD = 50_000
