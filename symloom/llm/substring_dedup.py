@@ -5,8 +5,9 @@
    A repeat that always follows the same word is part of a longer one, so only suffixes with different words before
    them enter trees, and one more each `REACH` windows of a stretch, so that no suffix is longer than a stretch.
 2. Suffixes are split by prefix. The bytes below each word prefix are counted level by level; a prefix with more than
-   `TREE_BYTES` below it is lengthened until each of its longer ones fits. Where a whole window has more, its suffixes
-   are cut into windows and equal ones are merged in the tasks that read them, before they meet.
+   `TREE_BYTES` below it is lengthened until each of its longer ones fits. Equal suffixes are merged in the task that
+   cuts them, so copies by the thousand count as one; where a whole window still has more below it, its suffixes are
+   cut into windows, and those are merged in the tasks that read them.
 3. Each prefix's suffixes make one suffix tree. A node at least `width` words deep is a repeat; the windows that
    begin between its parent's depth and its own occur at all leaves below it, first at the smallest.
 """
@@ -28,12 +29,14 @@ from symloom.llm.words import gram_hashes, mix, spans, word_hashes
 #: Bytes of text of one chunk, of the keys that one range answers (times 12), and below one prefix.
 CHUNK_BYTES, PART_BYTES, TREE_BYTES = 4_000_000, 12_000_000, 1_000_000
 REACH = 32
-#: Windows of too common prefixes that a task holds to merge equal ones.
+#: Suffixes, and windows of too common prefixes, that a task holds to merge equal ones.
 HELD = 50_000
 #: Prefixes too common for one tree are broadcast up to so many.
 BROADCAST_ROWS = 500_000
 _SUFFIXES = "doc_id long, digest long, at long, body string"
 _SUFFIX_TYPES = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int64()), ("body", pa.string())])
+_MERGED = f"{_SUFFIXES}, n long"
+_MERGED_TYPES = _SUFFIX_TYPES.append(pa.field("n", pa.int64()))
 _MARKS = "doc_id long, digest long, code long"
 _MARK_TYPES = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("code", pa.int64())])
 
@@ -142,10 +145,10 @@ def _cut(parts: int, width: int):
     return run
 
 
-def _merge_windows(width: int):
-    """From suffixes of too common prefixes: their windows, equal ones merged as far as a task holds them.
+def _merge(width: int, by_window: bool):
+    """From suffixes: equal ones merged as far as a task holds them; with by_window their windows, one by one.
 
-    A row without a body is the mark of a window that occurs earlier.
+    A row without a body is the mark of n windows that occur earlier; n is 0 in the others.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,22 +156,26 @@ def _merge_windows(width: int):
         late: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            late.extend((*place, body) for body, place in owners.items())
-            columns = list(zip(*late, strict=True)) or [()] * 4
+            late.extend((*place, body, 0) for body, place in owners.items())
+            columns = list(zip(*late, strict=True)) or [()] * 5
             owners.clear(), late.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUFFIX_TYPES, strict=True)], schema=_SUFFIX_TYPES)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MERGED_TYPES, strict=True)], schema=_MERGED_TYPES)
+
+        def add(body: str, mine: tuple[int, int, int], n: int) -> None:
+            other = owners.setdefault(body, mine)
+            if mine != other:
+                owners[body] = min(mine, other)
+                late.append((*max(mine, other), None, n))
 
         for batch in batches:
             for doc_id, digest, at, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "at", "body")), strict=True):
-                words = body.split(" ")
-                for k in range(len(words) - width + 1):
-                    window, mine = " ".join(words[k : k + width]), (doc_id, digest, at + k)
-                    other = owners.get(window)
-                    if other is None:
-                        owners[window] = mine
-                    elif mine != other:
-                        owners[window] = min(mine, other)
-                        late.append((*max(mine, other), None))
+                n = body.count(" ") + 2 - width
+                if by_window and n > 1:
+                    words = body.split(" ")
+                    for k in range(n):
+                        add(" ".join(words[k : k + width]), (doc_id, digest, at + k), 1)
+                else:
+                    add(body, (doc_id, digest, at), n)
                 if len(owners) + len(late) > HELD:
                     yield flush()
         yield flush()
@@ -301,12 +308,14 @@ def late_windows(docs: DataFrame, width: int = 20, tree_bytes: int = TREE_BYTES)
     by_chunk = chunked.groupBy("chunk")
     first = answers(by_chunk.applyInArrow(_ask_first(parts, bits, width), ASKED), parts, bits)
     second = answers(by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_ask_second(parts, bits, width), ASKED), parts)
-    suffixes = settle(by_chunk.cogroup(second.groupBy("chunk")).applyInArrow(_cut(parts, width), _SUFFIXES))
-    keyed = prefixed(suffixes, width, tree_bytes)
-    merged = keyed.where("key is null").drop("key").mapInArrow(_merge_windows(width), _SUFFIXES)
-    rows = keyed.where("key is not null").union(merged.where("body is not null").withColumn("key", F.xxhash64(F.lit(-1), "body")))
+    cut = by_chunk.cogroup(second.groupBy("chunk")).applyInArrow(_cut(parts, width), _SUFFIXES)
+    suffixes = settle(cut.mapInArrow(_merge(width, by_window=False), _MERGED))
+    keyed = prefixed(suffixes.where("body is not null").drop("n"), width, tree_bytes)
+    windows = keyed.where("key is null").drop("key").mapInArrow(_merge(width, by_window=True), _MERGED)
+    rows = keyed.where("key is not null").union(windows.where("body is not null").drop("n").withColumn("key", F.xxhash64(F.lit(-1), "body")))
     grown = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_grow(width), _MARKS)
-    marks = settle(grown.union(merged.where("body is null").select("doc_id", "digest", F.expr("at << 20 | 1L"))))
+    late = suffixes.union(windows).where("body is null").select("doc_id", "digest", F.expr("at << 20 | n"))
+    marks = settle(grown.union(late))
     discard(suffixes)
     return marks
 
