@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from symloom.llm.decontaminate import decontaminate
-from symloom.llm.perplexity import ORDER, classify, grams, score, train
+from symloom.llm.perplexity import HELD_OUT, ORDER, classify, grams, score, train
 from symloom.llm.sharding import kd_shards
 
 DOCS = "doc_id long, text string, lang string, source string, n_hit string"
@@ -84,7 +84,8 @@ class Reference:
     def __init__(self, texts):
         self.counts = {ORDER: Counter()}
         for t in texts:
-            padded = "\0" * (ORDER - 1) + t
+            t = t.encode()
+            padded = b"\0" * (ORDER - 1) + t
             self.counts[ORDER].update(padded[k : k + ORDER] for k in range(len(t)))
         for n in range(ORDER - 1, 0, -1):
             self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
@@ -102,8 +103,9 @@ class Reference:
         return (c - cut(c) if c else 0) / sum(own.values()) + freed * below
 
     def log_sum(self, text):
-        padded = "\0" * (ORDER - 1) + (text or "")
-        return sum(math.log(self.p(padded[k : k + ORDER])) for k in range(len(text or "")))
+        data = (text or "").encode()
+        padded = b"\0" * (ORDER - 1) + data
+        return sum(math.log(self.p(padded[k : k + ORDER])) for k in range(len(data)))
 
 
 def test_scores_against_the_definition_on_both_paths(spark):
@@ -155,9 +157,42 @@ def test_toxic_documents_are_not_trusted(spark):
     assert all(got[k] for k in range(50)) and not any(got[k] for k in range(60, 80))
 
 
-def test_grams_end_at_each_character():
-    assert len(grams("ab☃")) == 3 and grams("").size == 0
-    assert grams("xab")[-1] & ((1 << 24) - 1) == grams("yab")[-1] & ((1 << 24) - 1)
+def test_grams_end_at_each_byte():
+    assert len(grams("ab☃")) == 5 and grams("").size == 0
+    assert grams("xab")[-1] & ((1 << 16) - 1) == grams("yab")[-1] & ((1 << 16) - 1)
+    # characters that differ are different n-grams in every script
+    assert len({int(grams(chr(c))[-1]) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000}) == 0x10000 - 1 - 0x800
+
+
+def test_characters_of_large_scripts_are_told_apart(spark):
+    model = train(spark.createDataFrame([("\u4e2d" * 40,), ("\u6587\u4e2d" * 20,)], "text string"))
+    rows = [(1, "\u4e2d" * 30, "zh", "s", "x"), (2, "\u562d" * 30, "zh", "s", "x")]
+    got = {r.doc_id: r.log_sum for r in score(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert got[1] > got[2] + 20
+
+
+def test_thresholds_and_verdicts_against_brute_force(spark):
+    rng = random.Random(18)
+    lexicon = ["".join(rng.choice(["ta", "ke", "mi", "so", "ru"]) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(lexicon) if rng.random() < 0.9 else rng.choice(["Q#", "%%"]) for _ in range(rng.randrange(2, 40))), ["en", "de", None][k % 3], "s", "x") for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), int(k % 10 == 0)) for k in range(250)], "doc_id long, quality int, toxic int")
+    got = classify(docs, labels, quantile=0.2, margin=1.0, keep=("source", "n_hit", "doc_id")).toPandas()
+    assert list(got.columns) == ["doc_id", "lang", "n_chars", "perplexity", "threshold", "kept", "source", "n_hit", "doc_id"]
+    got = {r[0]: r for r in got.itertuples(index=False, name=None)}
+    apart = {r.doc_id for r in docs.selectExpr("doc_id", f"pmod(xxhash64(text), {HELD_OUT}) = 0 AS apart").where("apart").collect()}
+    trusted = {k for k in range(250) if k % 4 > 0 and k % 10}
+    reference = Reference([t for k, t, *_ in rows if k in trusted - apart])
+    for k, t, *_ in rows[::40]:
+        assert got[k][3] == pytest.approx(math.exp(-reference.log_sum(t) / len(t)), rel=1e-6)
+    for tongue in ("en", "de", None):
+        mine = [r for r in got.values() if r[1] == tongue]
+        reached = sorted(r[3] for r in mine if r[0] in trusted & apart)
+        want = reached[max(0, math.ceil(0.2 * len(reached)) - 1)]
+        assert {r[4] for r in mine} == {want}
+        # one document is exactly at the threshold, and is kept
+        assert all(r[5] == (r[3] <= want * math.exp(2 / math.sqrt(r[2]))) for r in mine) and sum(r[3] == want and r[5] for r in mine) >= 1
+        assert any(not r[5] for r in mine)
 
 
 # ---- sharding
