@@ -35,7 +35,7 @@ def rename_hints(disk: DataFrame, stored: DataFrame) -> DataFrame:
     return left.join(right, ["content_hash", "n"]).select("old_path", "new_path")
 
 
-def header_fanout(includes: DataFrame, changed: DataFrame, max_depth: int = 64) -> DataFrame:
+def header_fanout(includes: DataFrame, changed: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(path, depth): the files that include a changed one (path), directly or not, themselves not changed."""
     edges = includes.where("not is_system_include").select(F.col("included_file").alias("src"), F.col("source_file").alias("dst"), F.col("line").alias("ord"))
     # one common seed: the set of all changed files

@@ -6,23 +6,30 @@ checkpoint folder where there is one. Only the emptiness of a level is asked for
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in spark.checkpoint.dir; kept in memory and on disk where that is unset (local runs)."""
+    """df without its lineage, in spark.checkpoint.dir; where that is unset, kept in memory and on disk, which only local mode may."""
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder and not context.getCheckpointDir():
         context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    if context.getCheckpointDir():
+        return df.checkpoint()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return df.persist()
 
 
-def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, fan_out: int | None = None, first: int | None = None) -> DataFrame:
+def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None, fan_out: int | None = None, first: int | None = None) -> DataFrame:
     """(seed, node, depth): what each seed (seeds: seed) reaches over edges (src, dst, ord), the seed itself at 0.
 
-    fan_out keeps each node's first edges by ord; first those of the seed itself.
+    fan_out keeps each node's first edges by ord; first those of the seed itself. Without max_depth until nothing new
+    is reached.
     """
     order = Window.partitionBy("src").orderBy("ord", "dst")
     numbered = edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")).withColumn("n", F.row_number().over(order))
@@ -30,7 +37,7 @@ def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, fan_out: int | No
         numbered = numbered.where(F.col("n") <= max(fan_out, first or 0))
     numbered = cut(numbered.select("src", "dst", "n"))
     reached = frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         most = first if depth == 1 and first is not None else fan_out
         step = numbered if most is None else numbered.where(F.col("n") <= most)
         new = frontier.join(step, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
@@ -135,21 +142,33 @@ def impact(calls: DataFrame, references: DataFrame, symbols: DataFrame, seeds: D
     return first.join(cut_short, "seed", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
-def include_closure(includes: DataFrame, max_depth: int = 10) -> DataFrame:
+def include_closure(includes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(source, reached, depth): the files that each file includes, directly or not."""
     edges = includes.where("not is_system_include").select(F.col("source_file").alias("src"), F.col("included_file").alias("dst"), F.col("line").alias("ord"))
     seeds = edges.select(F.col("src").alias("seed")).distinct()
     return levels(edges, seeds, max_depth).where("depth > 0").select(F.col("seed").alias("source"), F.col("node").alias("reached"), "depth")
 
 
-def include_cycles(includes: DataFrame, max_length: int = 4) -> DataFrame:
-    """(cycle, length): the simple include cycles of 2 to max_length files, each from its smallest file on."""
+def include_cycles(includes: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(cycle, length): the simple include cycles of 2 files or more (at most max_length), each from its smallest file on.
+
+    Only files on some cycle are walked: the others leave first, from both ends. A tangle of n files that all include
+    each other has more than n! cycles.
+    """
     edges = cut(includes.where("not is_system_include and source_file != included_file").select(F.col("source_file").alias("src"), F.col("included_file").alias("dst")).distinct())
+    while True:
+        core = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        core = cut(core.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if core.count() == edges.count():
+            break
+        edges = core
     paths = edges.where("src < dst").select(F.array("src", "dst").alias("path"))
     found = None
-    for _ in range(max_length - 1):
+    for _ in count() if max_length is None else range(max_length - 1):
         stepped = paths.withColumn("src", F.element_at("path", -1)).join(edges, "src")
         closed = stepped.where(F.col("dst") == F.element_at("path", 1)).select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
-        found = closed if found is None else found.union(closed)
+        found = cut(closed if found is None else found.union(closed))
         paths = cut(stepped.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+        if paths.isEmpty():
+            break
     return found.distinct()

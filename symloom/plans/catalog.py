@@ -441,7 +441,7 @@ WITH RECURSIVE e AS (SELECT DISTINCT source_file AS src, included_file AS dst FR
 p AS (SELECT [src, dst] AS path FROM e WHERE src < dst UNION ALL SELECT list_append(path, dst) FROM p JOIN e ON src = path[-1] WHERE len(path) < 4 AND dst > path[1] AND NOT list_contains(path, dst))
 SELECT DISTINCT array_to_string(path, '>') AS cycle, len(path) AS length FROM p JOIN e ON src = path[-1] AND dst = path[1]""")
 def d24_include_cycles(g):
-    return traverse.include_cycles(g.include_dependencies)
+    return traverse.include_cycles(g.include_dependencies, max_length=4)
 
 
 # ---- merging and resolution

@@ -38,9 +38,10 @@ def _replace(spark: SparkSession, path: str, text: str) -> None:
     stream = fs.create(aside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(aside, target)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, target, over)
 
 
 def generations(spark: SparkSession, root: str) -> list[str]:

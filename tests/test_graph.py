@@ -262,3 +262,16 @@ def test_impact_of_every_callable_has_totals_and_flags(spark, duck):
     got = catalog.QUERIES["g13_impact_all"](spark, DATA).collect()
     assert {r.truncated for r in got} == {True, False} and max(r.total for r in got) > 10
     assert {r.seed for r in got} == {r[0] for r in duck.execute(catalog.duckdb_sql("SELECT id FROM symbols WHERE type IN ('function', 'method')")).fetchall()}
+
+
+def test_include_walks_have_no_depth_limit(spark):
+    chain = [(f"h{k:02}", f"h{k + 1:02}", 1, False) for k in range(66)]
+    ring = [(f"r{k}", f"r{(k + 1) % 7}", 1, False) for k in range(7)] + [("r3", "r1", 2, False), ("r5", "sys", 3, True)]
+    includes = spark.createDataFrame(chain + ring, "source_file string, included_file string, line int, is_system_include boolean")
+    cycles = {tuple(r) for r in traverse.include_cycles(includes).collect()}
+    assert cycles == {("r0>r1>r2>r3>r4>r5>r6", 7), ("r1>r2>r3", 3)}
+    assert {tuple(r) for r in traverse.include_cycles(includes, max_length=4).collect()} == {("r1>r2>r3", 3)}
+    reached = {(r.source, r.reached): r.depth for r in traverse.include_closure(includes.where("source_file like 'h0%' or source_file like 'h1%'")).collect()}
+    assert reached == {(f"h{a:02}", f"h{b:02}"): b - a for a in range(20) for b in range(a + 1, 21)}
+    fan_out = {r.path: r.depth for r in incremental.header_fanout(includes, spark.createDataFrame([("h66",)], "path string")).collect()}
+    assert fan_out == {f"h{66 - k:02}": k for k in range(1, 67)}
