@@ -4,9 +4,11 @@
    and one key for each band of minima. Rows with the same set are one class; its smallest id stands for it.
 2. Classes that share a band are candidates. In each band's bucket, members are first compared with one pivot - the
    member whose buckets are fullest, which in a family of copies is their origin - and linked on their full sets.
-3. What a bucket still holds of different components is compared block by block: the collision-corrected similarity
-   estimated from the packed bits, `SIGMAS` standard errors below the threshold, decides which full sets are compared.
-   All pairs within one component are already linked, so a family of n copies costs n comparisons, not n * n.
+3. What a bucket still holds of different components is compared block by block: its members outside its largest
+   component with each other and with that component's, never the largest with itself. A family of n copies with k
+   strays in its buckets costs n * k packed comparisons at most, not n * n.
+   Before any two full sets are compared, the collision-corrected similarity estimated from the packed bits must not be
+   more than `SIGMAS` standard errors below the threshold.
 4. Links make components. Sets travel once per class and block of up to `BLOCK` partners, never once per pair.
 """
 
@@ -27,7 +29,7 @@ from symloom.llm.words import gram_hashes, mix, spans, word_hashes
 BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
 BITS = 2
-SIGMAS = 4.0
+SIGMAS = 6.0
 BLOCK = 512
 _LONGS = MINIMA * BITS // 64
 
@@ -114,7 +116,7 @@ def _sets(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], ["doc", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("packed"), pa.array(sets, pa.binary())], ["doc", "packed", "shingles"])
 
     return run
 
@@ -203,13 +205,16 @@ def _likely(percent: int):
 def _confirm(percent: int):
     """From sets and pairs of the same key, sorted by key: links among the pairs whose sets are alike.
 
-    Within a key, a pair that links so far found already connect is not compared.
+    Within a key, a pair that links so far found already connect is not compared; nor is one whose estimate is too low.
     """
+    floor = estimate_floor(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, _KEY):
             docs = g.column("a").to_pylist()
-            sets = {d: np.frombuffer(s, np.uint64) for d, s in zip(docs, g.column("shingles").to_pylist(), strict=True) if s is not None}
+            rows = list(zip(docs, g.column("shingles").to_pylist(), g.column("packed").to_pylist(), strict=True))
+            sets = {d: np.frombuffer(s, np.uint64) for d, s, _ in rows if s is not None}
+            bits = {d: np.frombuffer(p, np.uint64)[None, :] for d, _, p in rows if p is not None}
             up = {d: d for d in sets}
 
             def top(d: int, up: dict[int, int] = up) -> int:
@@ -224,7 +229,7 @@ def _confirm(percent: int):
                     if top(x) == top(y):
                         continue
                     s, t = sets[x], sets[y]
-                    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)) or estimate(bits[x], bits[y])[0, 0] < floor:
                         continue
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(t) - both):
@@ -240,19 +245,40 @@ def _confirm(percent: int):
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the pairs that have the same key: a row's a with each of its partners."""
     needed = pairs.select(*_KEY, F.col("a").alias("doc")).distinct()
-    rows = needed.join(sets, "doc").select(*_KEY, F.col("doc").alias("a"), F.lit(None).cast("array<long>").alias("partners"), "shingles")
-    rows = rows.union(pairs.where("partners is not null").select(*_KEY, "a", "partners", F.lit(None).cast("binary")))
+    rows = needed.join(sets, "doc").select(*_KEY, F.col("doc").alias("a"), F.lit(None).cast("array<long>").alias("partners"), "packed", "shingles")
+    none = F.lit(None).cast("binary")
+    rows = rows.union(pairs.where("partners is not null").select(*_KEY, "a", "partners", none, none))
     return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _strays(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, bi, bj, side, doc, component): the blocks of buckets with more than one component, from (key, doc, component).
+
+    Blocks from 0 on hold members outside the bucket's largest component, negative ones those inside it.
+    """
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("all > main.n")
+    count = lambda n: F.ceil(n / block).cast("int")
+    mixed = mixed.select("key", F.col("main.component").alias("largest"), count(F.col("all") - F.col("main.n")).alias("others"), count(F.col("main.n")).alias("inside"))
+    stray = F.col("component") != F.col("largest")
+    mine = F.pmod(F.xxhash64("doc", F.lit("part")), F.when(stray, F.col("others")).otherwise(F.col("inside"))).cast("int")
+    spot = lambda i, j, side: F.struct(i.cast("int").alias("bi"), j.cast("int").alias("bj"), side.alias("side"))
+    others, inside = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("inside") - 1)
+    among = F.transform(others, lambda o: spot(F.least("mine", o), F.greatest("mine", o), F.when(F.col("mine") <= o, 0).otherwise(1)))
+    against = F.transform(inside, lambda o: spot(F.col("mine"), -1 - o, F.lit(0)))
+    within = F.transform(others, lambda o: spot(o, -1 - F.col("mine"), F.lit(1)))
+    spots = F.when(stray, F.concat(among, against)).otherwise(within)
+    return labelled.join(mixed, "key").withColumn("mine", mine).select("key", "doc", "component", F.explode(spots).alias("s")).select("key", "s.*", "doc", "component")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     Two rows are linked when 100 * (shingles of both) >= percent * (shingles of either); component_id is the smallest
     doc_id that links reach, the row's own included; kept is doc_id = component_id. With fewer than `width` words the
     whole sequence is the one shingle; without words or text the set is empty and linked with nothing. Bands miss a
-    pair of similarity s with the odds (1 - s ** 6) ** 32: 3e-7 at 0.85, 6e-5 at 0.8; a link that is found is confirmed on
-    the full sets. A null doc_id is linked with nothing and kept. Repeated rows get the same values. No rows give no rows; other
+    pair of similarity s with the odds (1 - s ** 6) ** 32: 3e-7 at 0.85, 6e-5 at 0.8; the estimate, six standard errors wide, with less than 1e-7;
+    a link that is found is confirmed on the full sets. A null doc_id is linked with nothing and kept. Repeated rows get the same values. No rows give no rows; other
     columns are not read.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -270,8 +296,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     pivot = ranked.groupBy("key").agg(F.max(F.struct("fullness", (-F.col("doc")).alias("minus"))).alias("best"))
     nearest = settle(ranked.join(pivot, "key").groupBy("doc").agg(F.max("best").alias("best")).select("doc", (-F.col("best.minus")).alias("pivot")))
 
-    wanted = source.withColumnRenamed("doc_id", "doc").join(nearest.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    sets = settle(wanted.mapInArrow(_sets(width), "doc long, shingles binary"))
+    wanted = source.withColumnRenamed("doc_id", "doc").join(firsts.select("doc", "packed").join(nearest.select("doc"), "doc"), "doc").dropDuplicates(["doc"])
+    sets = settle(wanted.mapInArrow(_sets(width), "doc long, packed binary, shingles binary"))
 
     of_family = nearest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     families = settle(nearest.join(of_family, "pivot").select("doc", "pivot", F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")).cast("int").alias("block")))
@@ -284,11 +310,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     labels = components(links.union(own))
 
     labelled = members.select("key", "doc").join(labels.withColumnRenamed("node", "doc"), "doc")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("doc", F.lit("part")), F.col("blocks")).cast("int"))
-    spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).cast("int").alias("bi"), F.greatest("mine", o).cast("int").alias("bj"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side")))
-    placed = placed.select("key", "doc", "component", F.explode(spots).alias("s")).select("key", "s.*", "doc", "component").join(firsts.select("doc", "n_shingles", "packed", "bands"), "doc").join(families, "doc")
+    placed = _strays(labelled).join(firsts.select("doc", "n_shingles", "packed", "bands"), "doc").join(families, "doc")
     order = ["key", "bi", "bj"]
     second_pairs = settle(placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(_likely(percent), _PAIRS))
     more = settle(_links(second_pairs, sets, percent))

@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from symloom.llm.components import components
-from symloom.llm.near_dedup import estimate, minima, near_duplicates, pack, shingle_set
+from symloom.llm.near_dedup import BLOCK, _strays, estimate, minima, near_duplicates, pack, shingle_set
 
 DOCS = "doc_id long, text string, component string"
 
@@ -65,6 +65,32 @@ def test_a_large_family_needs_no_pairs(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows, 85)
 
 
+def test_one_stray_in_a_large_family(spark):
+    family = spark.range(20_000).selectExpr("'k' AS key", "id AS doc", "0L AS component")
+    stray = spark.createDataFrame([("k", 30_000, 30_000), ("plain", 1, 0), ("plain", 2, 0)], "key string, doc long, component long")
+    got = _strays(family.union(stray)).collect()
+    blocks = -(-20_000 // BLOCK)
+    assert len(got) == 20_000 + blocks + 1 and {r.key for r in got} == {"k"}
+    # the stray meets each block of the family, and each member of it meets the stray once
+    assert {(r.bi, r.bj) for r in got if r.doc == 30_000} == {(0, 0)} | {(0, -1 - k) for k in range(blocks)}
+    assert all(r.bi == 0 and r.bj < 0 and r.side == 1 for r in got if r.doc < 20_000)
+
+
+def test_strays_meet_each_other_and_the_largest_component(spark):
+    rows = [("k", d, d % 3 if d % 4 else 9) for d in range(60)]
+    got = _strays(spark.createDataFrame(rows, "key string, doc long, component long"), block=5).collect()
+    label = {d: c for _, d, c in rows}
+    sizes = {c: list(label.values()).count(c) for c in set(label.values())}
+    largest = max(sizes, key=lambda c: (sizes[c], c))
+    met = set()
+    for a in got:
+        for b in got:
+            if (a.bi, a.bj) == (b.bi, b.bj) and (a.bi == a.bj or a.side != b.side) and a.doc < b.doc:
+                met.add((a.doc, b.doc))
+    need = {(a, b) for a in label for b in label if a < b and label[a] != label[b]}
+    assert need <= met and not any(label[a] == label[b] == largest for a, b in met)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
