@@ -55,7 +55,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     inside any occurrence of a window is hit; n_items counts the item_ids with occurring windows, items_sha256 is the
     SHA-256 of those ids, sorted as strings and comma-joined. Null texts have no words and are never hit; items
     without words or with a null id match nothing; repeated items count once, texts that share an item_id are judged
-    one by one. A null doc_id stays null and its row is judged by itself; repeated rows are repeated. No rows give no
+    one by one. Every row is judged by itself: a null doc_id stays
+    null, rows that share a doc_id may differ, repeated rows are repeated. A text is held whole by one task. No rows give no
     rows; an empty benchmark hits nothing; other columns are not read.
     """
     items = settle(
@@ -70,8 +71,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     for c in ("k", "w1", "w2", "w3"):
         same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}"))
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)) - F.monotonically_increasing_id())
-    places = _shingles(docs.select(F.col("doc_id").cast("long"), key.alias("doc"), words(F.col("text")).alias("words")), sizes)
+    # a number for each row, given once: `seen` is written down
+    places = _shingles(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("doc"), words(F.col("text")).alias("words")), sizes)
     found = known.count()
     right = F.broadcast(known) if found <= broadcast_rows else known.hint("shuffle_hash")
     last = (F.col("at").isNull() | (F.col("at") == F.col("n_words") - 1)) & (F.col("d.k") == sizes[-1])

@@ -56,7 +56,7 @@ def test_decontamination_against_brute_force(spark, broadcast_rows):
             at = rng.randrange(len(text) + 1)
             text[at:at] = (rng.choice(items)[1] or "").split()[: rng.choice([9, 10, 99])]
         docs.append((k, rng.choice([" ", "-", "\n. "]).join(text)))
-    docs += [(None, items[6][1]), (None, items[7][1]), (70, None), (71, ""), (72, "the " * 200), docs[0]]
+    docs += [(None, items[6][1]), (None, items[7][1]), (70, None), (71, ""), (72, "the " * 200), docs[0], (5, items[8][1]), (5, "plain words"), (73, "w1 " * 30_000 + (items[9][1] or ""))]
     got = decontaminate(spark.createDataFrame([(*d, "en", "s", "clash") for d in docs], DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast_rows).collect()
     assert sorted(map(tuple, got), key=str) == brute(docs, items)
 
