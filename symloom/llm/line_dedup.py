@@ -1,9 +1,9 @@
 """Line deduplication by distinct-site spread: lines that many sites share are boilerplate and go.
 
-Every line hash gets a HyperLogLog sketch of the sites it is seen on; sketches of the same hash merge by aggregation,
-task by task and then over the shuffle. Estimates clear of the threshold decide; within `SIGMAS` standard errors of it
-the distinct sites are counted exactly. A hash that occurs fewer times than the threshold cannot reach it and gets no
-sketch. A hot line costs one sketch a task, wherever it occurs.
+The occurrences of a line on a site are first added up, in each task and then over the shuffle, so a hot line leaves a
+task as one row a site. Every line hash then gets a HyperLogLog sketch of its sites; sketches of the same hash are begun
+in each task and merged by aggregation. Estimates clear of the threshold decide; within `SIGMAS` standard errors of it
+the distinct sites are counted exactly.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ def _parts(text: Column) -> Column:
 
 def line_spread(lines: DataFrame, min_sites: int) -> DataFrame:
     """(h1, h2) of the lines seen on min_sites distinct sites or more; lines has h1, h2, site."""
-    often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
-    sketched = lines.join(often, ["h1", "h2"]).groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
-    sketched = settle(sketched)
+    seen = settle(lines.groupBy("h1", "h2", "site").agg(F.count(F.lit(1)).alias("n")))
+    sketched = settle(seen.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")).where(F.col("n") >= min_sites))
     band = max(1, math.ceil(SIGMAS * 1.04 / 2 ** (LG_K / 2) * min_sites))
     near = sketched.where((F.col("sites") >= min_sites - band) & (F.col("sites") <= min_sites + band)).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.lit(1)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
+    exact = seen.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
     return sketched.where(F.col("sites") > min_sites + band).select("h1", "h2").union(exact.select("h1", "h2"))
 
 
@@ -50,11 +49,13 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, site: str = "source") -> Da
     lines = settle(exploded.where("line != ''").select("k1", "k2", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")))
     gone = lines.join(line_spread(lines, min_sites), ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("gone"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *keys).join(gone, ["k1", "k2"], "left")
-    all_lines = _parts(F.col("text"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    rows = rows.withColumn("lines", _parts(F.col("text")))
+    # array_except looks positions up by hash: linear in a text's lines
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda at: F.get("lines", at)), "\n"))
     return rows.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         F.coalesce(kept, F.lit("")).alias("kept"),
     )

@@ -120,6 +120,18 @@ def test_lines_against_brute_force(spark):
         assert sorted(map(tuple, line_dedup(docs, min_sites=least).collect()), key=str) == sorted(want, key=str)
 
 
+def test_lines_of_thousands_of_sites_and_a_long_text(spark):
+    # far from the threshold the sketch decides, near it the exact count
+    spread = {"few": 1500, "below": 2999, "at": 3000, "above": 3001, "many": 6000}
+    rows = spark.createDataFrame(list(spread.items()), "line string, n int").selectExpr("explode(sequence(1, n)) AS site", "line")
+    docs = rows.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "line AS text", "'clash' AS kept", "CAST(site AS STRING) AS source")
+    long = "\n".join(["many", "own"] * 20_000)
+    docs = docs.union(spark.createDataFrame([(1, "\n".join([*spread, "x"]), "clash", "1"), (2, long, "clash", "2")], DOCS))
+    got = {r.doc_id: r for r in line_dedup(docs, min_sites=3000).where("doc_id is not null").collect()}
+    assert got[1].kept.split("\n") == ["few", "below", "x"]
+    assert got[2].kept == "\n".join(["own"] * 20_000) and got[2].n_removed == 20_000
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es"), ("allow", "net", "/es/x/"), ("allow", "org", ""), ("block", "org", "")]
 URLS = [None, "", "no scheme", "http://a.com", "http://A.COM/x", "http://example.com/en/1?q#f", "https://www.Example.com/en/", "x://m.www.example.com/en/y", "http://notexample.com/en/", "http://b.net/espace", "http://b.net/es/x/1", "http://b.net?/es/", "http://a.org#/en/", "http:///en/", "http://..com//"]
 
