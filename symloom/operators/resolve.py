@@ -37,27 +37,48 @@ def plus_if(condition: Column, points: int) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), points).otherwise(0)
 
 
-def candidates(raw: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
-    """Every raw call (with a unique site_id) with the callables of its name and their scores."""
-    caller = symbols.select(F.col("id").alias("caller_id"), F.col("parent_id").alias("caller_parent"), _space(F.col("qualified_name"), F.col("parent_id")).alias("caller_space"))
-    bases = references.where("category = 'inheritanceMention'").groupBy(F.col("source_symbol_id").alias("caller_parent")).agg(F.collect_set("target_symbol_id").alias("bases"))
+#: What a call's candidates and their scores depend on, beside argument_texts.
+SIGNATURE = ["called_name", "call_kind", "argument_count", "qualifier", "qualifier_kind", "caller_parent", "caller_space", "near", "same_path"]
+
+
+def _targets(symbols: DataFrame) -> DataFrame:
+    """Callables by called_name, with what candidates are scored by."""
     path = F.col("file_path")
     own = plus_if((F.col("header_role") == "public") & S.header(path), 15) + plus_if(S.implementation(path) & ~S.header(path), 20)
     own = own + plus_if(F.col("signature").contains("<") & F.col("signature").contains(">") & (F.col("name").contains("<") | F.col("name").contains(":")), 30)
-    targets = symbols.where(F.col("type").isin(*CALLABLE)).select(
+    return symbols.where(F.col("type").isin(*CALLABLE)).select(
         F.col("name").alias("called_name"), F.col("id").alias("callee_id"), F.col("type").alias("callee_type"), "parent_id", path.alias("callee_path"), "parameter_count", "signature",
         S.arity(F.col("signature")).alias("arity"), S.leaf(F.col("parent_id")).alias("parent_leaf"), _space(F.col("qualified_name"), F.col("parent_id")).alias("space"), own.alias("own_score"),
     )
+
+
+def signed(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Raw calls of known callables' names with the columns of SIGNATURE.
+
+    near is the bonus of the folder nearest to the caller's that has a callable of the name, same_path the caller's file
+    if that has one itself.
+    """
+    caller = symbols.select(F.col("id").alias("caller_id"), F.col("parent_id").alias("caller_parent"), _space(F.col("qualified_name"), F.col("parent_id")).alias("caller_space"))
+    targets = _targets(symbols).select("called_name", "callee_path")
     # how near the name's candidates are depends on the caller's folder and file alone
-    folders = raw.select("called_name", _folder(F.col("file_path")).alias("folder")).distinct().join(targets.select("called_name", _folder(F.col("callee_path")).alias("callee_folder")).distinct(), "called_name")
-    near = folders.groupBy("called_name", "folder").agg(F.max(folder_bonus(F.col("folder"), F.col("callee_folder"))).alias("near"))
+    folders = cut(raw.select("called_name", _folder(F.col("file_path")).alias("folder")).distinct()).join(targets.select("called_name", _folder(F.col("callee_path")).alias("callee_folder")).distinct(), "called_name")
+    # of any two folders the distance is worked out once, whatever the names
+    apart = folders.select("folder", "callee_folder").distinct().withColumn("bonus", folder_bonus(F.col("folder"), F.col("callee_folder")))
+    near = cut(folders.join(apart, ["folder", "callee_folder"]).groupBy("called_name", "folder").agg(F.max("bonus").alias("near")))
     same = targets.select("called_name", F.col("callee_path").alias("file_path"), F.lit(True).alias("any_same")).distinct()
     sites = raw.withColumn("folder", _folder(F.col("file_path"))).join(near, ["called_name", "folder"]).join(same, ["called_name", "file_path"], "left").withColumn("any_same", F.coalesce("any_same", F.lit(False)))
-    rows = sites.join(caller.join(bases, "caller_parent", "left"), "caller_id", "left").join(targets, "called_name")
+    return sites.withColumn("same_path", F.when(F.col("any_same"), F.col("file_path"))).join(caller, "caller_id", "left")
+
+
+def candidates(calls: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
+    """Every row of calls (the columns of SIGNATURE) with the callables of its name and their scores."""
+    bases = references.where("category = 'inheritanceMention'").groupBy(F.col("source_symbol_id").alias("caller_parent")).agg(F.collect_set("target_symbol_id").alias("bases"))
+    rows = calls.join(bases, "caller_parent", "left").join(_targets(symbols), "called_name")
     plus = plus_if
-    kind, mine = F.col("call_kind"), F.col("file_path") == F.col("callee_path")
-    bonus = F.when(F.col("any_same"), -50).otherwise(F.col("near"))
-    direct, transitive = (bonus == -30) & ~F.col("any_same"), (bonus >= -24) & (bonus < 0) & ~F.col("any_same")
+    kind, any_same = F.col("call_kind"), F.col("same_path").isNotNull()
+    mine = F.coalesce(F.col("same_path") == F.col("callee_path"), F.lit(False))
+    bonus = F.when(any_same, -50).otherwise(F.col("near"))
+    direct, transitive = (bonus == -30) & ~any_same, (bonus >= -24) & (bonus < 0) & ~any_same
     score = (
         plus((kind != "qualified") & (F.col("parent_id") == F.col("caller_parent")), 100)
         + plus(F.col("space") == F.col("caller_space"), 50)
@@ -67,11 +88,11 @@ def candidates(raw: DataFrame, symbols: DataFrame, references: DataFrame) -> Dat
         + plus((kind == "qualified") & (F.col("qualifier_kind") == "type") & ((F.col("parent_id") == F.col("qualifier")) | (F.col("parent_leaf") == F.col("qualifier"))), 90)
         + plus((kind == "qualified") & (F.col("qualifier_kind") == "namespace") & (F.col("space") == F.col("qualifier")), 70)
         + F.when(F.col("parameter_count").isNotNull(), plus(F.col("parameter_count") == F.col("argument_count"), 60)).otherwise(plus(F.col("arity") == F.col("argument_count"), 40))
-        + F.when(mine & F.col("any_same"), 40).when(direct, 25).when(transitive, 10).otherwise(0)
+        + F.when(mine, 40).when(direct, 25).when(transitive, 10).otherwise(0)
         + F.when(~mine & (bonus < 0), bonus).otherwise(0)
         + F.col("own_score")
     )
-    if "argument_texts" in raw.columns:
+    if "argument_texts" in calls.columns:
         score = score + argument_hints(F.col("argument_texts"), F.col("signature"))
     return rows.withColumn("score", score)
 
@@ -91,15 +112,22 @@ def argument_hints(texts: Column, signature: Column) -> Column:
     return F.when(texts.isNull() | signature.isNull() | (F.size(texts) == 0), 0).otherwise(F.aggregate(pairs, F.lit(0), lambda a, x: a + x))
 
 
-def best_candidates(scored: DataFrame) -> DataFrame:
-    """One candidate a site: the top score; of several at the top the smallest id, and only if the score is positive."""
-    tied = scored.groupBy("site_id", "score").agg(F.count(F.lit(1)).alias("ties"), F.min("callee_id").alias("callee_id"))
-    top = tied.groupBy("site_id").agg(F.max_by(F.struct("score", "ties", "callee_id"), "score").alias("t"))
-    return top.where("t.ties = 1 or t.score > 0").select("site_id", "t.callee_id", "t.score")
+def candidate_counts(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(called_name, n): the pairs of raw calls and callables of a name, counted without making them."""
+    calls = raw.groupBy("called_name").agg(F.count(F.lit(1)).alias("calls"))
+    known = symbols.where(F.col("type").isin(*CALLABLE)).groupBy(F.col("name").alias("called_name")).agg(F.count(F.lit(1)).alias("known"))
+    return calls.join(known, "called_name").select("called_name", (F.col("calls") * F.col("known")).alias("n"))
+
+
+def best_candidates(scored: DataFrame, key: str) -> DataFrame:
+    """One candidate a key: the top score; of several at the top the smallest id, and only if the score is positive."""
+    tied = scored.groupBy(key, "score").agg(F.count(F.lit(1)).alias("ties"), F.min("callee_id").alias("callee_id"))
+    top = tied.groupBy(key).agg(F.max_by(F.struct("score", "ties", "callee_id"), "score").alias("t"))
+    return top.where("t.ties = 1 or t.score > 0").select(key, "t.callee_id", "t.score")
 
 
 def resolve_calls(raw: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
-    """Call edges of raw calls with a unique site_id: (caller_id, callee_id, file_path, line, resolution_tier).
+    """Call edges of raw calls: (caller_id, callee_id, file_path, line, resolution_tier).
 
     A callee that is given and known is confirmed; given but unknown, or the caller itself, gives no edge. Others go to
     the best-scored candidate. Equal edges count once, the confirmed first.
@@ -107,7 +135,15 @@ def resolve_calls(raw: DataFrame, symbols: DataFrame, references: DataFrame) ->
     given = raw.where("pre_resolved_callee_id is not null").join(symbols.select(F.col("id").alias("pre_resolved_callee_id")), "pre_resolved_callee_id", "left_semi")
     sure = given.select("caller_id", F.col("pre_resolved_callee_id").alias("callee_id"), "file_path", "line", F.lit("compiler_confirmed").alias("resolution_tier"))
     open_calls = raw.where("pre_resolved_callee_id is null")
-    found = best_candidates(candidates(open_calls, symbols, references)).join(open_calls.select("site_id", "caller_id", "file_path", "line"), "site_id")
+    sites = signed(open_calls, symbols)
+    by = [c for c in (*SIGNATURE, "argument_texts") if c in sites.columns]
+    # calls that are alike are scored once
+    alike = cut(sites.select(*by).distinct().withColumn("signature_id", F.monotonically_increasing_id()))
+    best = alike.join(best_candidates(candidates(alike, symbols, references), "signature_id"), "signature_id").alias("b")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}"))
+    found = sites.alias("s").join(best, same)
     guessed = found.select("caller_id", "callee_id", "file_path", "line", F.lit("heuristic").alias("resolution_tier"))
     return distinct_edges(sure.unionByName(guessed).where("caller_id != callee_id"))
 

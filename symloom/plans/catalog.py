@@ -478,12 +478,6 @@ def d3_own_locations(g):
     return merge.with_own_locations(g.symbols_raw).select("id", "declaration_file_path", "definition_line").na.fill(0, ["definition_line"])
 
 
-def _sites(g) -> DataFrame:
-    """Raw calls, equal ones once, each with an id."""
-    keys = ["caller_id", "called_name", "call_kind", "argument_count", "receiver", "qualifier", "qualifier_kind", "pre_resolved_callee_id", "file_path", "line"]
-    return g.raw_calls.select(*keys).distinct().withColumn("site_id", F.struct(F.xxhash64(*keys, *[F.col(k).isNull() for k in keys]), F.xxhash64(F.lit(1), *keys, *[F.col(k).isNull() for k in keys])))
-
-
 _SPACE = "CASE WHEN contains({n}, '::') THEN regexp_replace({n}, '::[^:]*$', '') END"
 _FOLDER = "string_split(CASE WHEN contains({p}, '/') THEN regexp_replace({p}, '/[^/]*$', '') ELSE '' END, '/')"
 _RESOLVE = f"""
@@ -508,12 +502,12 @@ resolved AS (SELECT caller_id, callee_id, file_path, line, min(tier) AS tier FRO
 
 @query(_RESOLVE + " SELECT caller_id, callee_id, file_path, line, CASE tier WHEN 0 THEN 'compiler_confirmed' ELSE 'heuristic' END AS resolution_tier FROM resolved")
 def d5_resolve_calls(g):
-    return resolve.resolve_calls(_sites(g), g.symbols, g.symbol_references)
+    return resolve.resolve_calls(g.raw_calls, g.symbols, g.symbol_references)
 
 
 @query("SELECT called_name, count(*) AS n FROM raw_calls r JOIN symbols s ON s.name = r.called_name AND s.type IN ('function', 'method') GROUP BY 1")
 def d4_candidate_counts(g):
-    return resolve.candidates(g.raw_calls.withColumn("site_id", F.monotonically_increasing_id()), g.symbols, g.symbol_references).groupBy("called_name").agg(F.count(F.lit(1)).alias("n"))
+    return resolve.candidate_counts(g.raw_calls, g.symbols)
 
 
 @query("""
