@@ -1,11 +1,13 @@
 """Bounded traversals of the call and include graphs, level by level, for whole sets of seeds.
 
 Each level is one join; visited nodes leave by an anti join, and levels are cut from their lineage in the shared
-checkpoint folder where there is one. Only the emptiness of a level is asked for on the driver.
+checkpoint folder where there is one. A level of few nodes finds its edges by a scan and numbers those alone; from the
+first level of many nodes on, the whole graph's edges are numbered once. Only counts of levels reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -25,21 +27,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+#: Up to so many nodes of a level are broadcast to the edges (about 100 bytes each).
+FEW = 20_000
+
+
+def _numbered(edges: DataFrame) -> DataFrame:
+    """(src, dst, n): each edge once, numbered within its src by ord and dst."""
+    order = Window.partitionBy("src").orderBy("ord", "dst")
+    return edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")).select("src", "dst", F.row_number().over(order).alias("n"))
+
+
+def _steps(edges: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function of a level (node) that gives the numbered edges from its nodes on, or those of all nodes."""
+    whole: DataFrame | None = None
+
+    def step(level: DataFrame) -> DataFrame:
+        nonlocal whole
+        if whole is None:
+            nodes = cut(level.select(F.col("node").alias("src")).distinct())
+            if nodes.count() <= FEW:
+                return cut(_numbered(edges.join(F.broadcast(nodes), "src", "left_semi")))
+            whole = cut(_numbered(edges))
+        return whole
+
+    return step
+
+
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None, fan_out: int | None = None, first: int | None = None) -> DataFrame:
     """(seed, node, depth): what each seed (seeds: seed) reaches over edges (src, dst, ord), the seed itself at 0.
 
     fan_out keeps each node's first edges by ord; first those of the seed itself. Without max_depth until nothing new
     is reached.
     """
-    order = Window.partitionBy("src").orderBy("ord", "dst")
-    numbered = edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")).withColumn("n", F.row_number().over(order))
-    if fan_out is not None:
-        numbered = numbered.where(F.col("n") <= max(fan_out, first or 0))
-    numbered = cut(numbered.select("src", "dst", "n"))
+    edges_of = _steps(edges)
     reached = frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         most = first if depth == 1 and first is not None else fan_out
-        step = numbered if most is None else numbered.where(F.col("n") <= most)
+        step = edges_of(frontier)
+        step = step if most is None else step.where(F.col("n") <= most)
         new = frontier.join(step, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         frontier = cut(new.join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -48,16 +73,21 @@ def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None, fan_out: i
     return reached
 
 
-def _searched(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_depth: int) -> DataFrame:
-    """(seed, node, ranks, path): the best path to each node that a seed reaches; at max_depth only the nodes of goals (goal)."""
-    order = Window.partitionBy("src").orderBy("ord", "dst")
-    numbered = cut(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")).select("src", "dst", F.row_number().over(order).alias("n")))
-    # the last level leads nowhere: of it only goals count
-    last = numbered.join(goals.select(F.col("goal").alias("dst")).distinct(), "dst", "left_semi")
+def _searched(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_depth: int, pairs: DataFrame | None = None) -> DataFrame:
+    """(seed, node, ranks, path): the best path to each node that a seed reaches; at max_depth only the nodes of goals (goal).
+
+    With pairs (seed, node) a seed is searched from until it has reached all its nodes.
+    """
+    edges_of = _steps(edges)
     frontier = cut(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.array().cast("array<int>").alias("ranks"), F.array("seed").alias("path")))
     reached = frontier
     for depth in range(1, max_depth + 1):
-        step = last if depth == max_depth else numbered
+        if pairs is not None:
+            waiting = pairs.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed").distinct()
+            frontier = cut(frontier.join(waiting, "seed", "left_semi"))
+        step = edges_of(frontier)
+        if depth == max_depth:  # the last level leads nowhere: of it only goals count
+            step = step.join(goals.select(F.col("goal").alias("dst")).distinct(), "dst", "left_semi")
         new = frontier.join(step, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.concat("ranks", F.array("n")).alias("ranks"), F.concat("path", F.array("dst")).alias("path"))
         best = new.groupBy("seed", "node").agg(F.min(F.struct("ranks", "path")).alias("b")).select("seed", "node", "b.ranks", "b.path")
         frontier = cut(best.join(reached.select("seed", "node"), ["seed", "node"], "left_anti"))
@@ -77,7 +107,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFr
     Of equally short paths that which first-in-first-out search finds: the least by the ranks of its edges, and ranks
     follow ord and dst.
     """
-    return _as_paths(_searched(edges, pairs, pairs, max_depth).join(pairs.select("seed", F.col("goal").alias("node")), ["seed", "node"]))
+    wanted = cut(pairs.select("seed", F.col("goal").alias("node")).distinct())
+    return _as_paths(_searched(edges, pairs, pairs, max_depth, wanted).join(pairs.select("seed", F.col("goal").alias("node")), ["seed", "node"]))
 
 
 def paths_to_goals(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_depth: int) -> DataFrame:
@@ -91,21 +122,23 @@ def call_tree(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, node_cap:
     A level keeps the first node_cap - 1 rows of a seed: what comes after a dropped row in preorder comes after those.
     Before the next level, rows go whose predecessors and their children alone are as many.
     """
-    order = Window.partitionBy("src").orderBy("ord", "dst")
-    numbered = edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")).select("src", "dst", F.row_number().over(order).alias("n"))
-    degrees = numbered.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("degree"))
-    numbered = cut(numbered.join(degrees, "dst", "left").select("src", "dst", "n", F.coalesce("degree", F.lit(0)).alias("degree")))
+    edges_of = _steps(edges)
     level = seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.array().cast("array<int>").alias("ranks"), F.array("seed").alias("path"))
     all_levels = None
     by_seed = Window.partitionBy("seed").orderBy("ranks")
     # at least so many children: those that are on the path already are none
     weight = 1 + F.greatest(F.col("degree") - F.size("path"), F.lit(0))
+    step = edges_of(level)
     for depth in range(1, max_depth + 1):
-        level = level.drop("degree").join(numbered, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("seed", F.col("dst").alias("node"), F.concat("ranks", F.array("n")).alias("ranks"), F.concat("path", F.array("dst")).alias("path"), "degree")
+        level = level.join(step, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("seed", F.col("dst").alias("node"), F.concat("ranks", F.array("n")).alias("ranks"), F.concat("path", F.array("dst")).alias("path"))
+        if depth < max_depth:
+            step = edges_of(step.select(F.col("dst").alias("node")))
+            degrees = step.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+            level = level.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         level = level.withColumn("k", F.row_number().over(by_seed)).where(F.col("k") < node_cap)
         if depth < max_depth:
             level = level.withColumn("before", F.sum(weight).over(by_seed.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < node_cap - 1).drop("before")
-        level = cut(level.drop("k"))
+        level = cut(level.select("seed", "node", "ranks", "path"))
         all_levels = level if all_levels is None else all_levels.union(level)
         if level.isEmpty():
             break
