@@ -91,6 +91,29 @@ def test_given_callees_and_qualifiers(spark):
     assert got == {(0, "ot::f", "compiler_confirmed"), (2, "ot::f", "heuristic"), (3, "ns::f", "heuristic"), (4, "C::h", "heuristic")}
 
 
+def test_calls_that_are_alike_are_scored_once(spark):
+    from pyspark.sql import functions as F
+
+    known = symbols(spark, {"id": "a::f", "signature": "void f(bool on)", "file_path": "p/a.cpp"}, {"id": "b::f", "signature": "void f(const Widget& w)", "file_path": "p/b.cpp"}, {"id": "main", "file_path": "p/m.cpp"}, {"id": "other", "file_path": "p/m.cpp"})
+    made = [{"caller_id": c, "called_name": "f", "argument_count": 1, "file_path": "p/m.cpp"} for c in ("main", "other", "main", "other")]
+    texts = F.when(F.col("line") < 2, F.array(F.lit("true"))).otherwise(F.array(F.lit("my.widget")))
+    sites = raw(spark, *made).withColumn("argument_texts", texts)
+    got = {(r.caller_id, r.line, r.callee_id) for r in resolve.resolve_calls(sites, known, references(spark)).collect()}
+    assert got == {("main", 0, "a::f"), ("other", 1, "a::f"), ("main", 2, "b::f"), ("other", 3, "b::f")}
+    counts = {tuple(r) for r in resolve.candidate_counts(sites, known).collect()}
+    assert counts == {("f", 8)}
+    assert resolve.candidates(resolve.signed(sites, known), known, references(spark)).count() == 8
+
+
+def test_member_access_against_brute_force(spark):
+    receivers = ["m_Widget", "widget", "wid", "", None, "a.VeryLongOwnerName.b", "VERYLONGOWNERNAM", "veryLongOwnerNames", "x", "Été.widget"]
+    names = ["Widget", "VeryLongOwnerName", "X", "", "été", None]
+    calls = [{"caller_id": f"c{k}", "called_name": "f", "call_kind": kind, "receiver": r} for kind in ("memberAccess", "unqualified") for k, r in enumerate(receivers)]
+    owners = spark.createDataFrame([(str(k), n) for k, n in enumerate(names)], "id string, name string")
+    got = sorted((r.source_symbol_id, r.target_symbol_id) for r in edges.member_access(raw(spark, *calls), owners).collect())
+    assert got == sorted((f"c{k}", n) for k, r in enumerate(receivers) if r is not None for n in names if n is not None and n.lower() in r.lower())
+
+
 def test_argument_hints(spark):
     from pyspark.sql import functions as F
 
@@ -155,7 +178,9 @@ def test_short_searches_find_nothing(spark):
     assert [(r.id, r.total) for r in lookup.search(known, "ALPH", limit=1, offset=1).collect()] == [("n::alphabet", 2)]
 
 
-def test_paths_trees_and_caps(spark):
+@pytest.mark.parametrize("few", [0, 3, 100])
+def test_paths_trees_and_caps(spark, monkeypatch, few):
+    monkeypatch.setattr(traverse, "FEW", few)  # all edges numbered at once, from the second level on, or never
     calls = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("b", "d", 1), ("c", "d", 1), ("d", "a", 1), ("d", "e", 2)], "src string, dst string, ord int")
     seeds = spark.createDataFrame([("a",)], "seed string")
     pairs = spark.createDataFrame([("a", "e"), ("a", "z"), ("a", "d")], "seed string, goal string")
