@@ -8,7 +8,8 @@
    component with each other and with that component's, never the largest with itself. A family of n copies with k
    strays in its buckets costs n * k packed comparisons at most, not n * n.
    Before any two full sets are compared, the collision-corrected similarity estimated from the packed bits must not be
-   more than `SIGMAS` standard errors below the threshold.
+   more than `SIGMAS` standard errors below the threshold. Members of such buckets alone get a second, wider sketch, whose
+   standard error is less than half as large: most pairs of a family that are merely related end there.
 4. Links make components. Sets travel once per class and block of up to `BLOCK` partners, never once per pair.
 """
 
@@ -32,10 +33,15 @@ BITS = 2
 SIGMAS = 6.0
 BLOCK = 512
 _LONGS = MINIMA * BITS // 64
+#: Minima of the wider sketch.
+WIDE = 1024
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _FACTORS = _rng.integers(1, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
+_wide_rng = np.random.Generator(np.random.PCG64(78))
+_WIDE_FACTORS = _wide_rng.integers(1, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_WIDE_SHIFTS = _wide_rng.integers(0, 2**32, WIDE, dtype=np.uint32)
 _SKETCH = "doc_id long, n_shingles long, digest binary, packed binary, bands array<long>"
 
 
@@ -47,13 +53,13 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(gram_hashes(words, size, seed=size)) if size else np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of each of MINIMA hash functions over a non-empty set."""
+def minima(shingles: np.ndarray, factors: np.ndarray = _FACTORS, shifts: np.ndarray = _SHIFTS) -> np.ndarray:
+    """The minimum of each of the hash functions, MINIMA of them, over a non-empty set."""
     low = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     high = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    best = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 2048):
-        values = (low[at : at + 2048, None] * _FACTORS + _SHIFTS) ^ (high[at : at + 2048, None] * _FACTORS[::-1])
+        values = (low[at : at + 2048, None] * factors + shifts) ^ (high[at : at + 2048, None] * factors[::-1])
         values = (values ^ (values >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         np.minimum(best, values.min(axis=0), out=best)
     return best
@@ -62,7 +68,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 def pack(best: np.ndarray) -> bytes:
     """The low BITS bits of each minimum."""
     mixed = mix(best.astype(np.uint64) + np.uint64(1)) & np.uint64(2**BITS - 1)
-    lanes = mixed.reshape(_LONGS, 64 // BITS) << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))
+    lanes = mixed.reshape(-1, 64 // BITS) << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))
     return np.bitwise_or.reduce(lanes, axis=1).tobytes()
 
 
@@ -80,19 +86,24 @@ def gram_hashes_by_row(rows: np.ndarray) -> np.ndarray:
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarities of packed rows a with packed rows b: agreeing groups of bits, corrected for chance."""
+    return estimate_each(a[:, None, :], b[None, :, :])
+
+
+def estimate_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of each of a with the one of b at its place."""
     lanes = np.uint64(0x5555555555555555)
-    apart = a[:, None, :] ^ b[None, :, :]
+    apart = a ^ b
     apart = (apart | (apart >> np.uint64(1))) & lanes
-    agree = 1.0 - np.bitwise_count(apart).sum(axis=2) / MINIMA
+    agree = 1.0 - np.bitwise_count(apart).sum(axis=-1) / (apart.shape[-1] * (64 // BITS))
     chance = 2.0**-BITS
     return (agree - chance) / (1 - chance)
 
 
-def estimate_floor(percent: int) -> float:
-    """The estimate below which a pair at the threshold lies with the odds of SIGMAS standard errors."""
+def estimate_floor(percent: int, n: int = MINIMA) -> float:
+    """The estimate from n minima below which a pair at the threshold lies with the odds of SIGMAS standard errors."""
     j, chance = percent / 100, 2.0**-BITS
     agree = j + (1 - j) * chance
-    return j - SIGMAS * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
+    return j - SIGMAS * (agree * (1 - agree) / n) ** 0.5 / (1 - chance)
 
 
 def _sketch(width: int):
@@ -121,6 +132,12 @@ def _sets(width: int):
     return run
 
 
+def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        wide = [pack(minima(np.frombuffer(v.as_py(), np.uint64), _WIDE_FACTORS, _WIDE_SHIFTS)) for v in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(wide, pa.binary())], ["doc", "wide"])
+
+
 def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key, from rows sorted by key."""
     held: list[pa.RecordBatch] = []
@@ -152,7 +169,7 @@ def _likely(percent: int):
     A pair is put out by its first common bucket alone, its partners gathered by family block: one row for each member
     and block; rows without partners name the documents that a block needs.
     """
-    floor = estimate_floor(percent)
+    floor, wide_floor = estimate_floor(percent), estimate_floor(percent, MINIMA + WIDE)
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +195,12 @@ def _likely(percent: int):
             if not may.any():
                 continue
             i, j = np.nonzero(may & (estimate(packed[x], packed[y]) >= floor))
+            if not len(i):
+                continue
+            both = np.hstack([packed, np.frombuffer(b"".join(g.column("wide").to_pylist()), np.uint64).reshape(len(packed), -1)])
+            steps = [slice(at, at + 50_000) for at in range(0, len(i), 50_000)]
+            near = np.concatenate([estimate_each(both[x[i[s]]], both[y[j[s]]]) >= wide_floor for s in steps])
+            i, j = i[near], j[near]
             if not len(i):
                 continue
             bands = np.concatenate([v.values.to_numpy() for v in g.column("bands")]).reshape(-1, BANDS)
@@ -310,12 +333,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     labels = components(links.union(own))
 
     labelled = members.select("key", "doc").join(labels.withColumnRenamed("node", "doc"), "doc")
-    placed = _strays(labelled).join(firsts.select("doc", "n_shingles", "packed", "bands"), "doc").join(families, "doc")
+    spots = settle(_strays(labelled))
+    wide = settle(sets.join(spots.select("doc").distinct(), "doc", "left_semi").select("doc", "shingles").mapInArrow(_wide, "doc long, wide binary"))
+    placed = spots.join(firsts.select("doc", "n_shingles", "packed", "bands"), "doc").join(wide, "doc").join(families, "doc")
     order = ["key", "bi", "bj"]
     second_pairs = settle(placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(_likely(percent), _PAIRS))
     more = settle(_links(second_pairs, sets, percent))
     final = components(links.union(more).union(own))
-    discard(members, sets, links, more, labels, nearest, families, second_pairs, firsts)
+    discard(members, sets, links, more, labels, nearest, families, second_pairs, firsts, spots, wide)
 
     of_class = classes.join(final.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))

@@ -65,6 +65,25 @@ def test_a_large_family_needs_no_pairs(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows, 85)
 
 
+def test_related_members_of_a_family_are_not_paired(spark, monkeypatch):
+    from symloom.llm import near_dedup
+
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(900, " ".join(base))]
+    for k in range(240):  # three changes leave a similarity of about 0.81 to the origin, four 0.75; 0.6 to each other
+        copy = list(base)
+        for at in rng.sample(range(5, 145), 3 + k % 2):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    settle, pairs = near_dedup.settle, []
+    monkeypatch.setattr(near_dedup, "settle", lambda df: (pairs.append(settle(df)), pairs[-1])[1] if "partners" in df.columns else settle(df))
+    monkeypatch.setattr(near_dedup, "discard", lambda *tables: None)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 80)
+    assert 0 < sum(len(r.partners or ()) for r in pairs[0].collect()) < 1500
+
+
 def test_one_stray_in_a_large_family(spark):
     family = spark.range(20_000).selectExpr("'k' AS key", "id AS doc", "0L AS component")
     stray = spark.createDataFrame([("k", 30_000, 30_000), ("plain", 1, 0), ("plain", 2, 0)], "key string, doc long, component long")
