@@ -316,3 +316,21 @@ def test_include_walks_have_no_depth_limit(spark):
     assert reached == {(f"h{a:02}", f"h{b:02}"): b - a for a in range(20) for b in range(a + 1, 21)}
     fan_out = {r.path: r.depth for r in incremental.header_fanout(includes, spark.createDataFrame([("h66",)], "path string")).collect()}
     assert fan_out == {f"h{66 - k:02}": k for k in range(1, 67)}
+
+
+def test_walks_write_down_no_paths(spark, monkeypatch):
+    kept, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: (kept.append(cut(df)), kept[-1])[1])
+    monkeypatch.setattr(traverse, "BATCH", 50)
+    names = {layer: [f"{layer}{k:02}" for k in range(30)] for layer in "abc"}
+    graph = spark.createDataFrame([(x, y, 7 - (k % 5)) for p, q in ("ab", "bc") for x in names[p] for k, y in enumerate(names[q])] * 2 + [("c00", "a00", 1), (None, "a00", 1)], "src string, dst string, ord int")
+    ids = lambda c, found: spark.createDataFrame([(i,) for i in found], f"{c} string")
+    goals = ids("goal", [*names["c"], "a00", "alone"])
+    for dense, block, seeds in ((8, 7, [*names["a"], "c00", "alone"]), (0, 1, ["a03", "c00", "alone"])):
+        monkeypatch.setattr(traverse, "DENSE", dense)
+        monkeypatch.setattr(traverse, "BLOCK", block)
+        kept.clear()
+        got = sorted(tuple(r) for r in traverse.paths_to_goals(graph, ids("seed", seeds), goals, 3).collect())
+        pairs = ids("seed", seeds).crossJoin(goals)
+        assert got == sorted((r.seed, r.goal, r.length, r.path) for r in traverse.shortest_paths(graph, pairs, 3).collect())
+        assert max(t.count() for t in kept[:5]) <= 3601  # the edges, each twice
