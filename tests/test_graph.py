@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from symloom.operators import edges, flow, incremental, lookup, merge, resolve, traverse
+from symloom.operators import edges, flow, incremental, investigate, lookup, merge, resolve, traverse
 from symloom.plans import catalog
 from symloom.schema import SYMBOL_COLUMNS, struct
 
@@ -334,3 +334,20 @@ def test_walks_write_down_no_paths(spark, monkeypatch):
         pairs = ids("seed", seeds).crossJoin(goals)
         assert got == sorted((r.seed, r.goal, r.length, r.path) for r in traverse.shortest_paths(graph, pairs, 3).collect())
         assert max(t.count() for t in kept[:5]) <= 3601  # the edges, each twice
+
+
+def test_coverage_of_all_pairs_equals_that_of_given_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(traverse, "BLOCK", 3)
+    calls = spark.createDataFrame([(a, b, "f", n, "heuristic") for n, (a, b) in enumerate(["sa", "ab", "bm", "sk", "kn", "tn", "ux", "xy", "yo", "mp", "zo"])], struct("calls"))
+    known = symbols(spark, *[{"id": i, "type": "method" if i in "mnopq" else "function"} | ({"parse_fragility": "elevated"} if i in "ko" else {}) for i in "sabktuxyzmnopq"])
+    event = lambda owner, kind, risk: (owner, f"{owner}::local:v@1", owner, "v", "localVariable", f"{owner}::local:w@2", None, "w", "localVariable", kind, "f", 3, "partial" if risk else "high", [risk] if risk else [])
+    sources, targets = known.select("id").where("type = 'function'"), known.select("id").where("type = 'method'")
+    pairs = sources.select(sources["id"].alias("source")).crossJoin(targets.select(targets["id"].alias("target")))
+    for events, cases in (([event("y", "fieldWrite", "pointerHeavyFlow"), event("q", "returnValue", ""), event("k", "fieldRead", "receiverAmbiguity"), event("a", "assignment", "")], [(3, 50)]),):
+        flows = spark.createDataFrame(events, struct("propagation_events")).withColumn("risk_text", F.concat_ws(",", "risks"))
+        for depth, most in cases:
+            steps = investigate.handoff_steps(flows, calls, investigate.main_paths(calls, pairs, depth), pairs, most)
+            want = cells(investigate.coverage(steps, known, pairs, most).collect())
+            assert cells(investigate.coverage_between(flows, calls, known, sources, targets, depth, most).collect()) == want and len(want) == 45
