@@ -351,3 +351,11 @@ def test_coverage_of_all_pairs_equals_that_of_given_pairs(spark, monkeypatch):
             steps = investigate.handoff_steps(flows, calls, investigate.main_paths(calls, pairs, depth), pairs, most)
             want = cells(investigate.coverage(steps, known, pairs, most).collect())
             assert cells(investigate.coverage_between(flows, calls, known, sources, targets, depth, most).collect()) == want and len(want) == 45
+
+
+def test_callables_that_score_alike_recover_no_caller_and_pairs_stay_where_they_are(spark):
+    known = symbols(spark, {"id": "n::f#1"}, {"id": "n::f#2"}, {"id": "n::g", "parse_fragility": "elevated"}, {"id": "main", "file_path": "src/m.cpp"})
+    sites = raw(spark, {"caller_id": "main", "called_name": "f", "receiver": "r"}, {"caller_id": "main", "called_name": "g"}, {"caller_id": "main", "called_name": "g"})
+    got = edges.recovered_callers(sites, known, references(spark), spark.createDataFrame([], struct("calls")))
+    assert [(r.callee_id, r.caller_id, r.line) for r in got.collect()] == [("n::g", "main", 1)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # pairs were sorted and shuffled for one
