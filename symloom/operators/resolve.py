@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import strings as S
 from symloom.operators.lookup import CALLABLE
-from symloom.operators.traverse import cut
+from symloom.operators.traverse import cut, ranked_rows, shipped
 
 MAX_HOPS = 16
 
@@ -40,43 +42,74 @@ def plus_if(condition: Column, points: int) -> Column:
 #: What a call's candidates and their scores depend on, beside argument_texts.
 SIGNATURE = ["called_name", "call_kind", "argument_count", "qualifier", "qualifier_kind", "caller_parent", "caller_space", "near", "same_path"]
 
+#: Tables of so many rows of a few numbers are broadcast to calls (40 bytes each).
+SMALL = 2_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df written down, broadcast if it is small."""
+    df = cut(df)
+    return shipped(df, df.count(), SMALL)
+
 
 def _targets(symbols: DataFrame) -> DataFrame:
-    """Callables by called_name, with what candidates are scored by."""
-    path = F.col("file_path")
+    """Callables by called_name, with what candidates are scored by; symbols may have path, the text of a file_path that is a number."""
+    path = F.col("path") if "path" in symbols.columns else F.col("file_path")
     own = plus_if((F.col("header_role") == "public") & S.header(path), 15) + plus_if(S.implementation(path) & ~S.header(path), 20)
     own = own + plus_if(F.col("signature").contains("<") & F.col("signature").contains(">") & (F.col("name").contains("<") | F.col("name").contains(":")), 30)
     return symbols.where(F.col("type").isin(*CALLABLE)).select(
-        F.col("name").alias("called_name"), F.col("id").alias("callee_id"), F.col("type").alias("callee_type"), "parent_id", path.alias("callee_path"), "parameter_count", "signature",
+        F.col("name").alias("called_name"), F.col("id").alias("callee_id"), F.col("type").alias("callee_type"), "parent_id", F.col("file_path").alias("callee_path"), "parameter_count", "signature",
         S.arity(F.col("signature")).alias("arity"), S.leaf(F.col("parent_id")).alias("parent_leaf"), _space(F.col("qualified_name"), F.col("parent_id")).alias("space"), own.alias("own_score"),
     )
 
 
-def signed(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+def signed(raw: DataFrame, symbols: DataFrame, targets: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """Raw calls of known callables' names with the columns of SIGNATURE.
 
     near is the bonus of the folder nearest to the caller's that has a callable of the name, same_path the caller's file
-    if that has one itself.
+    if that has one itself. paths: the texts (path) of file_path where that is a number.
     """
-    caller = symbols.select(F.col("id").alias("caller_id"), F.col("parent_id").alias("caller_parent"), _space(F.col("qualified_name"), F.col("parent_id")).alias("caller_space"))
-    targets = _targets(symbols).select("called_name", "callee_path")
+    owner = symbols.select(F.col("id").alias("caller_id"), F.col("parent_id").alias("caller_parent"), _space(F.col("qualified_name"), F.col("parent_id")).alias("caller_space"))
+    # few owners have many callers
+    owners = cut(owner.select("caller_parent", "caller_space").distinct().withColumn("owner", F.monotonically_increasing_id()))
+    same_owner = F.col("c.caller_parent").eqNullSafe(F.col("o.caller_parent")) & F.col("c.caller_space").eqNullSafe(F.col("o.caller_space"))
+    caller = _few(owner.alias("c").join(owners.alias("o"), same_owner).select("c.caller_id", "o.owner"))
+    targets = (_targets(symbols) if targets is None else targets).select("called_name", "callee_path")
+    at = lambda df, c, folder: df.withColumn(folder, _folder(F.col(c)))
+    between = (F.col("folder"), F.col("callee_folder"))
+    if paths is not None:
+        texts = ranked_rows(paths.select(_folder(F.col("path")).alias("id")).distinct())
+        numbered = _few(paths.join(texts, _folder(F.col("path")) == F.col("id")).select(F.col("file_path").alias("at"), F.col("k").alias("number")))
+        at = lambda df, c, folder: df.join(numbered, F.col(c) == F.col("at"), "left").withColumn(folder, F.col("number")).drop("at", "number")
     # how near the name's candidates are depends on the caller's folder and file alone
-    folders = cut(raw.select("called_name", _folder(F.col("file_path")).alias("folder")).distinct()).join(targets.select("called_name", _folder(F.col("callee_path")).alias("callee_folder")).distinct(), "called_name")
+    folders = cut(at(raw.select("called_name", "file_path"), "file_path", "folder").select("called_name", "folder").distinct()).join(at(targets, "callee_path", "callee_folder").select("called_name", "callee_folder").distinct(), "called_name")
     # of any two folders the distance is worked out once, whatever the names
-    apart = folders.select("folder", "callee_folder").distinct().withColumn("bonus", folder_bonus(F.col("folder"), F.col("callee_folder")))
-    near = cut(folders.join(apart, ["folder", "callee_folder"]).groupBy("called_name", "folder").agg(F.max("bonus").alias("near")))
-    same = targets.select("called_name", F.col("callee_path").alias("file_path"), F.lit(True).alias("any_same")).distinct()
-    sites = raw.withColumn("folder", _folder(F.col("file_path"))).join(near, ["called_name", "folder"]).join(same, ["called_name", "file_path"], "left").withColumn("any_same", F.coalesce("any_same", F.lit(False)))
-    return sites.withColumn("same_path", F.when(F.col("any_same"), F.col("file_path"))).join(caller, "caller_id", "left")
+    apart = folders.select("folder", "callee_folder").distinct()
+    if paths is not None:
+        for c in ("folder", "callee_folder"):
+            apart = apart.join(texts.select(F.col("k").alias(c), F.col("id").alias(f"{c}_text")), c)
+        between = (F.col("folder_text"), F.col("callee_folder_text"))
+    apart = apart.select("folder", "callee_folder", folder_bonus(*between).alias("bonus"))
+    near = _few(folders.join(apart, ["folder", "callee_folder"]).groupBy("called_name", "folder").agg(F.max("bonus").alias("near")))
+    same = _few(targets.select("called_name", F.col("callee_path").alias("file_path"), F.lit(True).alias("any_same")).distinct())
+    sites = at(raw, "file_path", "folder").join(near, ["called_name", "folder"]).join(same, ["called_name", "file_path"], "left").withColumn("any_same", F.coalesce("any_same", F.lit(False)))
+    sites = sites.withColumn("same_path", F.when(F.col("any_same"), F.col("file_path"))).join(caller, "caller_id", "left")
+    return sites.join(F.broadcast(owners), "owner", "left").drop("owner")
 
 
 def candidates(calls: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
     """Every row of calls (the columns of SIGNATURE) with the callables of its name and their scores."""
+    return _scored(calls, _targets(symbols), references)
+
+
+def _scored(calls: DataFrame, targets: DataFrame, references: DataFrame, mine: bool | None = None) -> DataFrame:
+    """calls with the targets of their names and the scores; mine: whether all targets are in the calls' own files, or none."""
     bases = references.where("category = 'inheritanceMention'").groupBy(F.col("source_symbol_id").alias("caller_parent")).agg(F.collect_set("target_symbol_id").alias("bases"))
-    rows = calls.join(bases, "caller_parent", "left").join(_targets(symbols), "called_name")
+    rows = calls.join(bases, "caller_parent", "left")
+    rows = rows.join(targets, (rows["called_name"] == targets["called_name"]) & (rows["same_path"] == targets["callee_path"])).drop(targets["called_name"]) if mine else rows.join(targets, "called_name")
     plus = plus_if
     kind, any_same = F.col("call_kind"), F.col("same_path").isNotNull()
-    mine = F.coalesce(F.col("same_path") == F.col("callee_path"), F.lit(False))
+    mine = F.coalesce(F.col("same_path") == F.col("callee_path"), F.lit(False)) if mine is None else F.lit(mine)
     bonus = F.when(any_same, -50).otherwise(F.col("near"))
     direct, transitive = (bonus == -30) & ~any_same, (bonus >= -24) & (bonus < 0) & ~any_same
     score = (
@@ -121,31 +154,62 @@ def candidate_counts(raw: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def best_candidates(scored: DataFrame, key: str) -> DataFrame:
     """One candidate a key: the top score; of several at the top the smallest id, and only if the score is positive."""
-    tied = scored.groupBy(key, "score").agg(F.count(F.lit(1)).alias("ties"), F.min("callee_id").alias("callee_id"))
+    ties = F.sum("alike") if "alike" in scored.columns else F.count(F.lit(1))
+    tied = scored.groupBy(key, "score").agg(ties.alias("ties"), F.min("callee_id").alias("callee_id"))
     top = tied.groupBy(key).agg(F.max_by(F.struct("score", "ties", "callee_id"), "score").alias("t"))
     return top.where("t.ties = 1 or t.score > 0").select(key, "t.callee_id", "t.score")
 
 
-def resolve_calls(raw: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
+def resolve_calls(raw: DataFrame | list[DataFrame], symbols: DataFrame, references: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Call edges of raw calls: (caller_id, callee_id, file_path, line, resolution_tier).
 
     A callee that is given and known is confirmed; given but unknown, or the caller itself, gives no edge. Others go to
     the best-scored candidate. Equal edges count once, the confirmed first.
+
+    raw is computed once and written down, names as numbers, part by part if it is a list. Ids and paths may be numbers too (in the order of what they
+    stand for): symbols then have path, and paths is (file_path, path).
     """
-    given = raw.where("pre_resolved_callee_id is not null").join(symbols.select(F.col("id").alias("pre_resolved_callee_id")), "pre_resolved_callee_id", "left_semi")
-    sure = given.select("caller_id", F.col("pre_resolved_callee_id").alias("callee_id"), "file_path", "line", F.lit("compiler_confirmed").alias("resolution_tier"))
-    open_calls = raw.where("pre_resolved_callee_id is null")
-    sites = signed(open_calls, symbols)
-    by = [c for c in (*SIGNATURE, "argument_texts") if c in sites.columns]
+    targets = cut(_targets(symbols))
+    names = ranked_rows(targets.select(F.col("called_name").alias("id")).distinct()).select(F.col("id").alias("called_name"), F.col("k").alias("name"))
+    named = lambda df, how: df.join(shipped(names, names.count()), "called_name", how).withColumn("called_name", F.col("name")).drop("name")
+    parts = raw if isinstance(raw, list) else [raw]
+    texts = [c for c in ("argument_texts",) if c in parts[0].columns]
+    columns = ["caller_id", "called_name", "call_kind", "argument_count", *texts, "qualifier", "qualifier_kind", "pre_resolved_callee_id", "file_path", "line"]
+    raw = reduce(DataFrame.unionByName, [cut(named(part.select(*columns), "left")) for part in parts])
+    targets = cut(named(targets, "inner"))
+    known = symbols.select(F.col("id").alias("pre_resolved_callee_id"))
+    given = raw.where("pre_resolved_callee_id is not null").join(_few(known), "pre_resolved_callee_id", "left_semi")
+    sure = given.select("caller_id", F.col("pre_resolved_callee_id").alias("callee_id"), "file_path", "line", F.lit(0).alias("tier"))
+    open_calls = raw.where("pre_resolved_callee_id is null and called_name is not null").drop("pre_resolved_callee_id")
+    sites = signed(open_calls, symbols, targets, paths)
+    by = [*SIGNATURE, *texts]
     # calls that are alike are scored once
     alike = cut(sites.select(*by).distinct().withColumn("signature_id", F.monotonically_increasing_id()))
-    best = alike.join(best_candidates(candidates(alike, symbols, references), "signature_id"), "signature_id").alias("b")
+    # so are callables that are alike; their files count only where one is a call's own, and such a one scores 90 more than it does
+    # among those of other files
+    scored_by = [c for c in targets.columns if c not in ("callee_id", "callee_path")]
+    scored_by = scored_by if texts else [c for c in scored_by if c != "signature"]
+    groups = lambda more: targets.groupBy(*scored_by, *more).agg(F.min("callee_id").alias("callee_id"), F.count(F.lit(1)).alias("alike"))
+    elsewhere, own = groups([]).withColumn("callee_path", F.lit(None)), groups(["callee_path"])
+    kept = ["signature_id", "score", "alike", "callee_id"]
+    signature = lambda df: df if texts else df.withColumn("signature", F.lit(None).cast("string"))
+    scored = _scored(alike, signature(elsewhere), references, False).select(*kept).union(_scored(alike.where("same_path is not null"), signature(own), references, True).select(*kept))
+    best = _few(alike.join(best_candidates(scored, "signature_id"), "signature_id").select(*by, "callee_id")).alias("b")
     same = F.lit(True)
     for c in by:
         same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}"))
-    found = sites.alias("s").join(best, same)
-    guessed = found.select("caller_id", "callee_id", "file_path", "line", F.lit("heuristic").alias("resolution_tier"))
-    return distinct_edges(sure.unionByName(guessed).where("caller_id != callee_id"))
+    guessed = sites.alias("s").join(best, same).select("s.caller_id", "b.callee_id", "s.file_path", "s.line", F.lit(1).alias("tier"))
+    return _distinct(sure.unionByName(guessed).where("caller_id != callee_id").repartition("caller_id", "callee_id"))
+
+
+#: Tiers of an edge, the best first.
+TIERS = ["compiler_confirmed", "heuristic", "cha_virtual"]
+
+
+def _distinct(edges: DataFrame) -> DataFrame:
+    """Edges (tier: its number) once each, with the name of the best tier."""
+    named = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1)
+    return edges.groupBy("caller_id", "callee_id", "file_path", "line").agg(F.min("tier").alias("tier")).withColumn("resolution_tier", named).drop("tier")
 
 
 def distinct_edges(calls: DataFrame) -> DataFrame:

@@ -359,3 +359,16 @@ def test_callables_that_score_alike_recover_no_caller_and_pairs_stay_where_they_
     got = edges.recovered_callers(sites, known, references(spark), spark.createDataFrame([], struct("calls")))
     assert [(r.callee_id, r.caller_id, r.line) for r in got.collect()] == [("n::g", "main", 1)]
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # pairs were sorted and shuffled for one
+
+
+def test_raw_calls_are_written_down_once_as_numbers(spark, duck, monkeypatch):
+    from symloom.plans import views
+
+    kept, cut = [], traverse.cut
+    monkeypatch.setattr(resolve, "cut", lambda df: (kept.append(cut(df)), kept[-1])[1])
+    monkeypatch.setattr(views, "SLICE", 2500)
+    got = catalog.QUERIES["d5_resolve_calls"](spark, DATA)
+    theirs = duck.execute(catalog.ORACLES["d5_resolve_calls"])
+    assert cells(got.select(*[d[0] for d in theirs.description]).collect()) == cells(theirs.fetchall())
+    parts = [dict(t.dtypes) for t in kept if {"pre_resolved_callee_id", "line"} <= set(t.columns)]
+    assert len(parts) > 1 and all(t[c] == "int" for t in parts for c in ("caller_id", "called_name", "pre_resolved_callee_id", "file_path"))
