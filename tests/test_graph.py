@@ -372,3 +372,50 @@ def test_raw_calls_are_written_down_once_as_numbers(spark, duck, monkeypatch):
     assert cells(got.select(*[d[0] for d in theirs.description]).collect()) == cells(theirs.fetchall())
     parts = [dict(t.dtypes) for t in kept if {"pre_resolved_callee_id", "line"} <= set(t.columns)]
     assert len(parts) > 1 and all(t[c] == "int" for t in parts for c in ("caller_id", "called_name", "pre_resolved_callee_id", "file_path"))
+
+
+def test_trees_of_whole_tables_write_down_no_paths(spark, monkeypatch):
+    from symloom.operators import preorder
+
+    kept = []
+    for module in (traverse, preorder):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: (kept.append(cut(df)), kept[-1])[1])
+    assert catalog.QUERIES["g10_callgraph_all"](spark, DATA).columns == ["seed", "position", "depth", "node", "path"]
+    assert kept and not any("path" in t.columns for t in kept)
+
+
+def test_trees_of_whole_tables_are_those_of_a_plain_walk(spark, monkeypatch):
+    import random
+    from itertools import islice
+
+    from symloom.operators import preorder
+
+    for name, value in (("SPAN", 7), ("BLOCK", 8), ("TURN", 3), ("CHUNK", 50), ("NAMED", 10)):
+        monkeypatch.setattr(preorder, name, value)
+    draw = random.Random(8)
+    most = {n: draw.choice([0, 1, 2, 3, 9]) for n in range(60)} | {0: 58, 1: 40, 59: 0}
+    edges = [(a, draw.randrange(60), draw.choice([None, 1, 2, 3])) for a, n in most.items() for _ in range(n)]
+    edges += [(a, 1, 0) for a in range(5, 40)] + [(2, 2, 0), (None, 3, 0), (3, None, 0), (0, 1, None), (1, 0, 9), (1, 0, 1)]
+    lines: dict = {}
+    for a, b, line in edges:
+        if a is not None and b is not None:
+            lines[a, b] = min((x for x in (lines.get((a, b)), line) if x is not None), default=None)
+    kids: dict = {}
+    for (a, b), line in sorted(lines.items(), key=lambda e: (e[1] is not None, e[1] or 0, e[0][1])):
+        kids.setdefault(a, []).append(b)
+    names = [f"n{k:02}" for k in range(62)]
+    seeds = [*range(0, 50), 59, 60]
+
+    def tree(path, depth):
+        for b in kids.get(path[-1], []):
+            if b not in path and len(path) <= depth:
+                yield [*path, b]
+                yield from tree([*path, b], depth)
+
+    parts = [spark.createDataFrame(edges[k::2], "src int, dst int, ord int") for k in (0, 1)]
+    ids, given = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "id string, k int"), spark.createDataFrame([(s,) for s in [*seeds, 4]], "seed int")
+    for depth, cap in ((3, 200), (3, 12), (4, 30), (2, 2), (1, 6), (2, 1)):
+        want = [(names[s], k, len(p) - 1, names[p[-1]], ">".join(names[x] for x in p)) for s in seeds for k, p in enumerate(islice(tree([s], depth), cap - 1), 1)]
+        assert sorted(tuple(r) for r in preorder.call_trees(parts, given, ids, depth, cap).collect()) == sorted(want)
+    none = spark.createDataFrame([], "seed int")
+    assert preorder.call_trees(parts, none, ids).count() == preorder.call_trees([], given, ids).count() == 0
