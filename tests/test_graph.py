@@ -419,3 +419,39 @@ def test_trees_of_whole_tables_are_those_of_a_plain_walk(spark, monkeypatch):
         assert sorted(tuple(r) for r in preorder.call_trees(parts, given, ids, depth, cap).collect()) == sorted(want)
     none = spark.createDataFrame([], "seed int")
     assert preorder.call_trees(parts, none, ids).count() == preorder.call_trees([], given, ids).count() == 0
+
+
+def test_callers_of_whole_tables_write_down_nothing_that_is_only_reached(spark, monkeypatch):
+    from symloom.operators import preorder, walks
+    from symloom.plans import views
+
+    kept = []
+    for module in (traverse, preorder, walks, views):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: (kept.append(cut(df)), kept[-1])[1])
+    assert catalog.QUERIES["g11_callers_recursive_all"](spark, DATA).columns == ["seed", "node", "depth"]
+    assert kept and not any({"seed", "depth"} & set(t.columns) for t in kept)
+
+
+def test_walks_of_whole_tables_are_those_of_a_plain_search(spark, monkeypatch):
+    import random
+
+    from symloom.operators import preorder, walks
+
+    for module, name, value in ((preorder, "SPAN", 8), (walks, "BLOCK", 8), (walks, "BATCH", 20), (preorder, "CHUNK", 50), (preorder, "NAMED", 10)):
+        monkeypatch.setattr(module, name, value)
+    draw = random.Random(3)
+    edges = [(draw.randrange(60), draw.randrange(60), draw.choice([None, 1, 2])) for _ in range(90)] + [(2, 2, 0), (None, 3, 0), (3, None, 0)] + [(0, b, 1) for b in range(50)]
+    kids: dict = {}
+    for a, b, _ in edges:
+        kids.setdefault(a, set()).add(b)
+    seeds = [*range(40), 60, 61]
+    parts = [spark.createDataFrame(edges[k::2], "src int, dst int, ord int") for k in (0, 1)]
+    ids, given = spark.createDataFrame([(f"n{k:02}", k) for k in range(62)], "id string, k int"), spark.createDataFrame([(s,) for s in seeds], "seed int")
+    for depth in (1, 2, 4):
+        want = []
+        for s in seeds:
+            found = {s: 0}
+            for d in range(1, depth + 1):
+                found |= {b: d for a in [a for a, x in found.items() if x == d - 1] for b in kids.get(a, ()) if b is not None and b not in found}
+            want += [(f"n{s:02}", f"n{b:02}", d) for b, d in found.items()]
+        assert sorted(tuple(r) for r in walks.levels(parts, given, ids, depth).collect()) == sorted(want)
