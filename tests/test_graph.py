@@ -455,3 +455,27 @@ def test_walks_of_whole_tables_are_those_of_a_plain_search(spark, monkeypatch):
                 found |= {b: d for a in [a for a, x in found.items() if x == d - 1] for b in kids.get(a, ()) if b is not None and b not in found}
             want += [(f"n{s:02}", f"n{b:02}", d) for b, d in found.items()]
         assert sorted(tuple(r) for r in walks.levels(parts, given, ids, depth).collect()) == sorted(want)
+
+
+def test_paths_of_whole_tables_are_those_of_given_pairs_and_names_stay_behind(spark, monkeypatch):
+    import random
+
+    from symloom.operators import preorder, walks
+    from symloom.plans import views
+
+    monkeypatch.setattr(preorder, "SPAN", 8)
+    monkeypatch.setattr(walks, "BLOCK", 9)
+    draw = random.Random(5)
+    edges = [(draw.randrange(40), draw.randrange(40), draw.choice([1, 2, 3])) for _ in range(110)]
+    name = lambda k: f"n{k:02}"
+    ids, column = spark.createDataFrame([(name(k), k) for k in range(42)], "id string, k int"), lambda c, found: spark.createDataFrame([(x,) for x in found], c)
+    seeds, goals = [*range(30), 41], [1, 7, 20, 33, 39, 41]
+    got = walks.paths_to_goals([spark.createDataFrame(edges, "src int, dst int, ord int")], column("seed int", seeds), column("seed int", goals), ids, 3)
+    text = spark.createDataFrame([(name(a), name(b), n) for a, b, n in edges], "src string, dst string, ord int")
+    want = traverse.paths_to_goals(text, column("seed string", map(name, seeds)), column("goal string", map(name, goals)), 3)
+    assert got.columns == want.columns and cells(got.collect()) == cells(want.collect())
+    kept = []
+    for module in (traverse, preorder, walks, views):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: (kept.append(cut(df)), kept[-1])[1])
+    assert catalog.QUERIES["g12_trace_call_path_all"](spark, DATA).columns == want.columns
+    assert kept and not any({"kids", "src", "dst"} & set(t.columns) for t in kept)
