@@ -479,3 +479,15 @@ def test_paths_of_whole_tables_are_those_of_given_pairs_and_names_stay_behind(sp
         monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: (kept.append(cut(df)), kept[-1])[1])
     assert catalog.QUERIES["g12_trace_call_path_all"](spark, DATA).columns == want.columns
     assert kept and not any({"kids", "src", "dst"} & set(t.columns) for t in kept)
+
+
+def test_what_sources_reach_is_not_dealt_anew(spark, monkeypatch):
+    from symloom.operators import preorder, walks
+    from symloom.plans import views
+
+    kept = []
+    for module in (traverse, preorder, walks, views):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: (kept.append(cut(df)), kept[-1])[1])
+    plan = catalog.QUERIES["g17_investigate_workflow"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition " not in plan
+    assert kept and not any({"kids", "src", "dst", "reached"} & set(t.columns) for t in kept)
