@@ -491,3 +491,17 @@ def test_what_sources_reach_is_not_dealt_anew(spark, monkeypatch):
     plan = catalog.QUERIES["g17_investigate_workflow"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition " not in plan
     assert kept and not any({"kids", "src", "dst", "reached"} & set(t.columns) for t in kept)
+
+
+def test_sites_that_score_alike_are_scored_once(spark, monkeypatch):
+    kept, cut = [], edges.cut
+    monkeypatch.setattr(edges, "cut", lambda df: (kept.append(cut(df)), kept[-1])[1])
+    known = symbols(
+        spark, {"id": "n::f", "parse_fragility": "elevated", "file_path": "src/f/x.cpp"},
+        *[{"id": f"c{k}", "file_path": p} for k, p in enumerate(["a/1.cpp", "a/2.cpp", "b/x.hpp", "src/f/y.cpp", "src/f/x.cpp"])],
+    )
+    paths = ["a/1.cpp", "a/2.cpp", "b/x.hpp", "src/f/y.cpp", "src/f/x.cpp"]
+    sites = raw(spark, *[{"caller_id": f"c{k}", "called_name": known.where("id = 'n::f'").first().name, "call_kind": "unqualified", "file_path": p} for k, p in enumerate(paths)])
+    got = {r.caller_id: r.score for r in edges.recovered_callers(sites, known, references(spark), spark.createDataFrame([], struct("calls"))).collect()}
+    assert {c: s - got["c0"] for c, s in got.items()} == {"c0": 0, "c1": 0, "c2": 45, "c3": 90, "c4": 240}
+    assert [t.count() for t in kept if "near_site_path" in t.columns and "site" in t.columns] == [4]
